@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import langid, media, mixing, packing, simhash, token_counts
+from . import langid, media, mixing, packing, simhash, token_counts, toxicity
 
-MODULES = (media, langid, mixing, simhash, packing, token_counts)
+MODULES = (media, langid, mixing, simhash, packing, toxicity, token_counts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
