@@ -1,10 +1,73 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: rejects toxic documents, keeps one of each group of near copies, masks personal data, mixes
+sources to target weights and packs what is left into sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return
+the columns of docs. Any cases are those of the operators; a stage's own are in its docstring.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barline.llm import mixing, packing, pii, simhash, toxicity
+from barline.llm._tables import shared_folder, table, written
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what scores as toxic. Learns from labels of documents at hand; without any, the stated lexicon holds."""
+    model = toxicity.train(spark, toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(spark, docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group of near copies, the document of the smallest id. Rows of equal ids are one document."""
+    found = simhash.near_duplicates(spark, docs)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind. No document goes; n_chars, where there is one, follows the text."""
+    marked = pii.personal_data(docs)
+    out = marked.withColumn("text", F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("spans"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document, in training order. Texts stay whole: the one document of a
+    source at which its target ends is taken if the target asks for half of it or more."""
+    order = mixing.curriculum(mixing.mix(spark, docs))
+    order = order.where((F.col("size") > 0) & (2 * F.col("words") >= F.col("size"))).select("doc_id", "position", "pass")
+    texts = docs.dropDuplicates(["doc_id"])
+    keys = ("position", "doc_id", "pass")
+    return texts.join(order, "doc_id").repartitionByRange(*keys).sortWithinPartitions(*keys).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and its place there."""
+    import public_tokenizers
+
+    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Models, tokenizers and fingerprints are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each result written to the shared folder and read again as the next one's docs."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), folder, name)
+    return docs
