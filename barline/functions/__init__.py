@@ -1 +1 @@
-
+"""SQL fragments and scalar and aggregate primitives."""
