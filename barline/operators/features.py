@@ -202,10 +202,10 @@ def derive(dense: DataFrame, stages: list[dict[str, str]] | None = None) -> Data
 
 
 def derive_sql(source: str, stages: list[dict[str, str]], prefix: str = "s") -> tuple[list[str], str]:
-    """Common table expressions for DuckDB, and the name of the last."""
+    """Common table expressions, still to be rendered, and the name of the last."""
     ctes, last = [], source
     for i, stage in enumerate(stages):
-        ctes.append(f"{prefix}{i} AS (SELECT *, " + ", ".join(f"{render(e, 'duckdb')} AS {n}" for n, e in stage.items()) + f" FROM {last})")
+        ctes.append(f"{prefix}{i} AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in stage.items()) + f" FROM {last})")
         last = f"{prefix}{i}"
     return ctes, last
 

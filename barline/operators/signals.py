@@ -37,4 +37,5 @@ def detect_sql(source_ctes: list[str], source: str, some: list[Rule]) -> str:
         f"SELECT date, ticker, '{r.family}' AS family, '{r.signal}' AS signal, CAST({r.direction} AS INT) AS direction, CAST(coalesce({render(r.strength, 'duckdb')}, 0) AS DOUBLE) AS strength, {r.horizon} AS horizon FROM {last} WHERE present AND {render(f'({r.mask})', 'duckdb')}"
         for r in some
     )
-    return "WITH " + ", ".join([*source_ctes, f"dense AS ({densify_sql(source)})", *ctes]) + f" {each}"
+    chain = ", ".join([*source_ctes, *(render(c, "duckdb") for c in (f"dense AS ({densify_sql(source)})", *ctes))])
+    return f"WITH {chain} {each}"

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fragments import div, render, roll
-from ..operators import backtest, interaction, rules, signals
+from ..operators import backtest, fusion, interaction, learned, recovery, rules, shapes, signals, studies
 from ..operators.features import densify, densify_sql, derive, derive_sql, stages_for
-from ..sources import bars
+from ..sources import bars, files, simulator
+from ..streaming import bars as stream_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +47,7 @@ register("bars_hourly", bars.hourly, f"SELECT * FROM ({HOURLY})", _PRICES)
 def _derived(columns: str) -> tuple[Query, str]:
     stages, names = stages_for(columns), columns.replace(" ", ", ")
     ctes, last = derive_sql("dense", stages)
-    sql = "WITH " + ", ".join([_BARS, f"dense AS ({densify_sql('bars')})", *ctes]) + f" SELECT date, ticker, {names} FROM {last} WHERE present"
+    sql = "WITH " + ", ".join([_BARS, f"dense AS ({densify_sql('bars')})", *(render(c, "duckdb") for c in ctes)]) + f" SELECT date, ticker, {names} FROM {last} WHERE present"
     return lambda spark, sf_dir: derive(densify(bars.walk(spark, sf_dir)), stages).where("present").select("date", "ticker", *columns.split()), sql
 
 
@@ -111,7 +112,7 @@ register(
 #: The signals that event-study queries run on: every rule of these families.
 STUDIED = ("gaps", "anchors", "breakouts", "volume", "candles")
 _STUDIED = rules.rules(*STUDIED)
-_SIGNALS = f"signals AS ({signals.detect_sql([], 'bars', _STUDIED).replace('dense', 'grid').replace('WITH grid', 'WITH grid', 1)})"
+_SIGNALS = f"signals AS ({signals.detect_sql([], 'bars', _STUDIED).replace('dense', 'grid')})"
 
 
 def studied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -145,3 +146,96 @@ _study(
 )
 for _name, _select, _doubles in (("family_portfolio", "SELECT * FROM portfolio", "ret"), ("family_summary", backtest.SUMMARY, "mean_bp sharpe")):
     _study(_name, [_daily, backtest.steps_cte("duckdb"), backtest.portfolio_ctes()], _select, _doubles, [_daily, backtest.steps_cte("spark"), backtest.portfolio_ctes()])
+
+
+# shapes, fusion, studies
+_FUSED = tuple(STUDIED)
+register("lmw_extrema", lambda spark, sf_dir: shapes.extrema_shapes(bars.walk(spark, sf_dir)))
+register("cup_handle", lambda spark, sf_dir: shapes.cup_handle(bars.walk(spark, sf_dir)))
+_pivot = fusion.pivot_ctes(_FUSED)
+_linear = fusion.linear_ctes(_FUSED)
+_scores = " ".join(f"f_{f}" for f in _FUSED)
+_study("feature_pivot", [_daily, _pivot], f"SELECT date, ticker, n_active, {_scores.replace(' ', ', ')} FROM pivoted", _scores)
+_study("zsum_portfolio", [_daily, _forward, _pivot, _linear, fusion.sides_ctes(3)], "SELECT * FROM book", "gross net")
+_study(
+    "topk_overlap_portfolio",
+    [_daily, _forward, _pivot, _linear, backtest.steps_cte("duckdb"), fusion.frontier_ctes()],
+    "SELECT * FROM frontier",
+    "conviction_q rt_bps mean_bp sharpe",
+    [_daily, _forward, _pivot, _linear, backtest.steps_cte("spark"), fusion.frontier_ctes()],
+)
+
+
+def _walked(spark, sf_dir):
+    panel, found = studied(spark, sf_dir)
+    return fusion.walk_forward(fusion.training_rows(panel, found, _FUSED), _FUSED, trees=5, every=12)
+
+
+def _importance(spark, sf_dir):
+    _, model, rows, inputs = _walked(spark, sf_dir)
+    return fusion.permutation_importance(model, rows, inputs, repeats=1)
+
+
+def _events(spark, sf_dir):
+    return studies.crash_events(bars.walk(spark, sf_dir), warm_up=120)
+
+
+register("walkforward_gbt", lambda spark, sf_dir: _walked(spark, sf_dir)[0].select("date", "ticker", "score"))
+register("permutation_importance", _importance)
+register("crash_events", _events)
+register("cohort_table", lambda spark, sf_dir: studies.cohorts(_events(spark, sf_dir)))
+register("knn_past_cohort", lambda spark, sf_dir: studies.analogs(_events(spark, sf_dir), least=60))
+
+
+def _forks(spark, sf_dir):
+    events = _events(spark, sf_dir).persist()
+    return studies.forks(events, studies.analogs(events, least=60))
+
+
+register("crash_forks", _forks)
+register("analog_correlation", lambda spark, sf_dir: studies.information_coefficient(studies.analogs(_events(spark, sf_dir), least=60)))
+register("average_path", lambda spark, sf_dir: studies.average_path(bars.walk(spark, sf_dir), _events(spark, sf_dir)))
+_oracle_ctes, _ = studies.oracle_ctes("bars")
+for _name, _select, _doubles in (
+    ("oracle_top3", studies.TOP_TABLE, "return_pct rvol_that_day gap_that_day_pct exante_rvol exante_news_3d exante_mom21 exante_prox52 exante_vol20 exante_compression"),
+    ("winner_profile", studies.profile_select(), "winners universe lift"),
+    ("oracle_ceiling", studies.CEILING, "oracle_avg_daily_pct universe_avg_daily_pct news_share_of_top3"),
+):
+    register(_name, lambda spark, sf_dir, select=_select: studies.winners(bars.walk(spark, sf_dir), select), render("WITH " + ", ".join([_BARS, *_oracle_ctes]) + " " + _select, "duckdb"), _doubles)
+register("treadmill", lambda spark, sf_dir: spark.sql(studies.TREADMILL), studies.TREADMILL, "net_daily_bps net_annual_pct")
+register(
+    "required_skill",
+    lambda spark, sf_dir: spark.sql(studies.REQUIRED_SKILL, panel=bars.walk(spark, sf_dir)),
+    f"WITH {_BARS} " + studies.REQUIRED_SKILL.format(panel="bars"),
+    "per_trade_edge_bps hit_rate_needed",
+)
+register("day_traders", lambda spark, sf_dir: studies.annual_distribution(studies.day_traders(bars.walk(spark, sf_dir), n_traders=200)))
+
+
+def _family_returns(spark, sf_dir):
+    panel, found = studied(spark, sf_dir)
+    return backtest.family_portfolio(panel, found)
+
+
+register("bootstrap", lambda spark, sf_dir: studies.bootstrap(_family_returns(spark, sf_dir).where("family = 'candles'"), n_draws=200))
+_CURVE = "SELECT date, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM portfolio WHERE family = 'candles'"
+_study(
+    "equity_curve",
+    [_daily, backtest.steps_cte("duckdb"), backtest.portfolio_ctes()],
+    f"SELECT date, equity, equity / max(equity) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS drawdown FROM ({_CURVE}) c",
+    "equity drawdown",
+    [_daily, backtest.steps_cte("spark"), backtest.portfolio_ctes()],
+)
+register("calibration", lambda spark, sf_dir: files.estimates(bars.walk(spark, sf_dir)), f"WITH {_BARS} SELECT * FROM ({files.estimates_sql('duckdb', 'bars')})", "mu overnight_var_share gap_std gap_kurtosis volume_abs_ret_beta range_var_ratio")
+_SMALL = simulator.Market(n_stocks=12, years=2.2)
+register("simulate", lambda spark, sf_dir: simulator.simulate(spark, _SMALL))
+
+
+def _recovery(spark, sf_dir):
+    made = simulator.simulate(spark, _SMALL).persist()
+    return recovery.ground_truth_recovery(signals.detect(made.drop(*simulator.TRUTH), rules.rules("gaps", "anchors", "candles")), made)
+
+
+register("ground_truth_recovery", _recovery)
+register("chart_gbm", lambda spark, sf_dir: learned.chart_signals(bars.walk(spark, sf_dir), trees=5))
+register("streaming_bars", lambda spark, sf_dir: stream_bars.hourly_bars(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("hour", F.col("hour").cast("timestamp_ntz")), f"SELECT * FROM ({HOURLY})", _PRICES)

@@ -1 +1 @@
-
+"""Bars and gap signals over streams: an extension of the batch queries."""
