@@ -23,3 +23,14 @@ def sample_by_class(labelled: DataFrame, label: str, rows_per_class: int) -> tup
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, rows_per_class / n))).otherwise(share)
     return labelled.where(hash_share() < share), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> tuple[DataFrame, dict]:
+    """Rows of docs with a label 0 or 1, about rows_per_class of each; and the labels' counts.
+
+    The sample is drawn from the labels, without any text, so that its few thousand rows meet the documents where these
+    lie: the documents aren't shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", label)
+    drawn, counts = sample_by_class(known, label, rows_per_class)
+    return docs.join(F.broadcast(drawn.limit(4 * rows_per_class)), "doc_id"), counts

@@ -2,13 +2,13 @@
 
 The lexicon is learned from labelled rows: every lower-cased word, and every word beginning of STEM_MIN to STEM_MAX
 letters, is counted by label over distinct contexts (copies of a document share their least word hash, and count once
-for each), and those that stand nearly only in toxic documents become terms and stems. A list of common insults joins
-them.
+for each). Those that stand far oftener in toxic documents than in others, and oftener than chance allows any, become
+terms and stems. A list of common insults joins them.
 
 A word is held against the lexicon by running Levenshtein automata over the terms' trie: the automaton's states and the
 trie's nodes are walked together, and a branch ends as soon as its state holds no more edits. Terms of four letters or
-fewer must match exactly, longer ones may miss by one edit, the longest by two; a word of four letters must be a term. Digits and signs that stand for letters
-are read as these first.
+fewer must match exactly, longer ones may miss by one edit, the longest by two; a word of four letters must be a term.
+Digits and signs that stand for letters are read as these first.
 
 Each hit is looked at in a window of WINDOW words: within quotation marks, or after a verb of saying, it counts as
 quotation, else as abuse. A logistic model over the hits by kind (term, misspelling, stem; abuse, quotation), drawn
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._models import fold, sample_by_class
+from ._models import fold, labelled_sample
 from ._tables import shared_folder, table, written
 from ._words import Remembered, slices
 
@@ -43,9 +43,9 @@ MAX_TERMS = 1500
 STEM_MIN, STEM_MAX = 4, 8
 WINDOW = 6
 SAMPLE_ROWS = 6000
-#: A term must stand in so many distinct toxic contexts, and in so many times as many as its share of others foretells.
+#: A term stands in so many distinct toxic contexts at least, and in so many times the share of them as of others.
 MIN_CONTEXTS, MIN_LIFT = 4, 8.0
-#: And it stands in this share of others for each at most.
+#: Misspellings are sought of terms that stand in this many other contexts for each toxic one at most.
 MAX_OTHERS = 0.02
 KINDS = ("term", "near", "stem")
 #: Prior weights: base, then abuse and quotation of each kind, then hits per hundred words.
@@ -154,11 +154,11 @@ EDGES = "\"“”„«»‘’'.,;:?()[]{}<>|*%&#=+-_~^/\\`…"
 class Lexicon:
     """terms and stems, and what a raw word comes to: -1 nothing, else an index of KINDS."""
 
-    def __init__(self, terms, stems):
-        self.terms, self.stems = frozenset(terms), frozenset(stems)
-        self.trie, self.parts = Trie(self.terms), Parts(self.terms)
+    def __init__(self, terms=(), stems=(), misspelt=()):
+        self.terms, self.stems, misspelt = frozenset(terms) | set(INSULTS), frozenset(stems), frozenset(misspelt) | set(INSULTS)
+        self.trie, self.parts = Trie(misspelt), Parts(misspelt)
         self.stem_sizes = sorted(set(map(len, self.stems)))
-        self.longest = max(map(len, self.terms), default=0) + 2
+        self.longest = max(map(len, misspelt), default=0) + 2
         self.kind = Remembered(self._kind, 500_000)
 
     def _kind(self, raw: str) -> int:
@@ -207,30 +207,40 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     return row
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Terms and stems of labelled rows (text, toxic). At most MAX_TERMS of each come to the driver."""
+def learn_lexicon(sample: DataFrame, folder: str) -> tuple[list[str], list[str], list[str]]:
+    """Terms, stems and the terms whose misspellings count, of labelled rows (text, toxic). At most MAX_TERMS of each
+    come to the driver."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), LETTERS), lambda w: F.length(w) >= STEM_MIN))
     docs = sample.select("toxic", words.alias("words")).where(F.size("words") > 0)
     # copies of a document share, mostly, the least hash of their words: one of them speaks for all
     docs = docs.withColumn("context", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))).dropDuplicates(["toxic", "context"])
     by_word = docs.select((F.col("toxic") == 1).cast("long").alias("yes"), F.explode("words").alias("unit")).groupBy("unit").agg(F.sum("yes").alias("yes"), F.sum(1 - F.col("yes")).alias("no"))
+    by_word = written(by_word, folder, "words")
     beginnings = F.transform(F.sequence(F.lit(STEM_MIN), F.least(F.lit(STEM_MAX), F.length("unit") - 1)), lambda n: F.substring("unit", F.lit(1), n))
     by_stem = by_word.where(F.length("unit") > STEM_MIN).select(F.explode(beginnings).alias("unit"), "yes", "no").groupBy("unit").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     totals = {r["toxic"]: r["count"] for r in docs.groupBy("toxic").count().collect()}
     toxic, others = totals.get(1, 0), totals.get(0, 0)
     if not toxic:
-        return [], []
+        return [], [], []
+    # so many toxic contexts in a row that not one unit of as many would get there by chance; a stem, which stands for
+    # words not seen, needs half as many more
+    n_units = max(2, by_word.count())
+    least = max(MIN_CONTEXTS, math.ceil(math.log(n_units) / -math.log(min(0.9, (toxic + 1) / (toxic + others + 2)))))
+    lift = (F.col("yes") / F.lit(float(toxic))) / ((F.col("no") + 0.5) / F.lit(float(others + 1)))
+    gain = F.col("yes") * F.log(lift)
     found = {}
-    # a stem must be surer than a word, for it stands for words not seen
-    for kind, counts, least in (("word", by_word, MIN_CONTEXTS), ("stem", by_stem, 5 * MIN_CONTEXTS)):
-        lift = (F.col("yes") / F.lit(float(toxic))) / ((F.col("no") + 0.5) / F.lit(float(others + 1)))
-        sure = (F.col("yes") >= least) & (lift >= MIN_LIFT) & (F.col("no") <= F.col("yes") * MAX_OTHERS)
-        found[kind] = {r["unit"]: r["yes"] for r in counts.where(sure).orderBy(F.col("yes").desc(), "unit").limit(MAX_TERMS).collect()}
-    # a stem that is but a part of one learned word says no more than the word
-    stems = [s for s, n in found["stem"].items() if not any(w.startswith(s) and m >= 0.8 * n for w, m in found["word"].items())]
-    stems = [s for s in stems if not any(s != t and s.startswith(t) for t in stems)]
-    terms = [w for w in found["word"] if not any(w.startswith(s) for s in stems)]
-    return terms, stems
+    for kind, counts, needed in (("word", by_word, least), ("stem", by_stem, least + least // 2)):
+        rows = counts.where((F.col("yes") >= needed) & (lift >= MIN_LIFT)).withColumn("gain", gain)
+        found[kind] = rows.orderBy(F.col("gain").desc(), "unit").limit(MAX_TERMS).collect()
+    words = {r["unit"]: r["yes"] for r in found["word"]}
+    stems: list[str] = []
+    for r in found["stem"]:  # of stems that begin alike the one that tells most; one that is but a part of a word says no more than it
+        s = r["unit"]
+        if not any(s.startswith(t) or t.startswith(s) for t in stems) and not any(w.startswith(s) and m >= 0.8 * r["yes"] for w, m in words.items()):
+            stems.append(s)
+    terms = [w for w in words if not any(w.startswith(s) for s in stems)]
+    sure = {r["unit"] for r in found["word"] if r["no"] <= MAX_OTHERS * r["yes"]}
+    return terms, stems, [w for w in terms if w in sure]
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2.0) -> np.ndarray:
@@ -254,25 +264,24 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2.0)
 
 
 class Scorer:
-    def __init__(self, lexicon: tuple[list[str], list[str]], weights: np.ndarray):
-        self.lexicon, self.weights = Lexicon(set(lexicon[0]) | set(INSULTS), lexicon[1]), weights
+    def __init__(self, lexicon: tuple[list[str], ...], weights: np.ndarray):
+        self.lexicon, self.weights = Lexicon(*lexicon), weights
 
     def __call__(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(features(text, self.lexicon), self.weights))))))
 
 
-def train(spark, labelled: DataFrame) -> tuple[tuple[list[str], list[str]], np.ndarray]:
-    """labelled: doc_id, text, toxic of the rows to learn from."""
-    usable = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    sample, counts = sample_by_class(usable, "toxic", SAMPLE_ROWS)
-    if not counts:
-        return ([], []), PRIOR
-    sample = written(sample, shared_folder(spark), "sample")
-    learned = learn_lexicon(sample)
+def train(spark, docs: DataFrame, labels: DataFrame) -> tuple[tuple[list[str], ...], np.ndarray]:
+    """docs (doc_id, text) and labels (doc_id, toxic); learns from rows of another fold than the first only."""
+    usable = docs.where(fold(5) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample, counts = labelled_sample(usable, labels.where(fold(5) != 0), "toxic", SAMPLE_ROWS)
+    folder = shared_folder(spark)
+    sample = written(sample, folder, "sample")
+    learned = learn_lexicon(sample, folder)
     sent = spark.sparkContext.broadcast(learned)
 
     def compute(batches):
-        lexicon = Lexicon(set(sent.value[0]) | set(INSULTS), sent.value[1])
+        lexicon = Lexicon(*sent.value)
         for batch in batches:
             for part in slices(batch):
                 rows = [features(t, lexicon) for t in part.column("text").to_pylist()]
@@ -280,8 +289,10 @@ def train(spark, labelled: DataFrame) -> tuple[tuple[list[str], list[str]], np.n
 
     got = sample.select("text", "toxic").mapInArrow(compute, "toxic double, x array<double>").groupBy("toxic", "x").count().collect()
     x, y, n = (np.array([r[c] for r in got], float) for c in ("x", "toxic", "count"))
+    if not got:
+        return learned, PRIOR
     # back to the classes' own shares
-    taken = {v: n[y == v].sum() for v in (0, 1)}
+    taken = {v: max(1.0, n[y == v].sum()) for v in (0, 1)}
     weight = n * np.array([counts[int(v)] / taken[int(v)] for v in y])
     return learned, fit(x, y, weight * n.sum() / weight.sum())
 
@@ -302,14 +313,9 @@ def score(spark, docs: DataFrame, model, name: str = "toxicity") -> DataFrame:
     return docs.select(kept).mapInArrow(compute, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the rows that may be learned from."""
-    return docs.select("doc_id", "text").where(fold(5) != 0).join(labels.where(fold(5) != 0).select("doc_id", "toxic"), "doc_id")
-
-
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) as doc_id", "text")
-    model = train(spark, labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(spark, docs, table(spark, sf_dir, "labels"))
     scored = score(spark, docs, model, "score")
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -16,7 +16,7 @@ from barline.llm._tables import shared_folder, table, written
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what scores as toxic. Learns from labels of documents at hand; without any, the stated lexicon holds."""
-    model = toxicity.train(spark, toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
     return toxicity.score(spark, docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 
