@@ -49,6 +49,8 @@ class ContextTrees:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
+        if not texts:
+            return
         parts = {k: [PAD + coded_bytes(t) for t in v] for k, v in texts.items()}
         data = {k: np.frombuffer(b"".join(v) or PAD, np.uint8) for k, v in parts.items()}
         heads = {k: np.cumsum([0] + [len(p) for p in v]) for k, v in parts.items()}

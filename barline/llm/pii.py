@@ -257,13 +257,13 @@ def listed(found: Column) -> Column:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """text with each span replaced by its kind in brackets; of overlapping spans the earlier, then the longer one."""
+    """text with each span replaced by its kind in brackets; spans that overlap go as one, by the first one's kind."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     by_place = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
 
     def add(a: Column, s: Column) -> Column:
         more = F.struct((-s["less"]).alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).alias("out"))
-        return F.when(s["start"] >= a["at"], more).otherwise(a)
+        return F.when(s["start"] >= a["at"], more).otherwise(F.struct(F.greatest(a["at"], -s["less"]).alias("at"), a["out"].alias("out")))
 
     cut = F.aggregate(by_place, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add)
     rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text)))
