@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._models import fold, sample_by_class
+from ._models import fold, labelled_sample
 from ._tables import table
 from ._words import Remembered, slices
 
@@ -120,20 +120,22 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """labelled: doc_id, text, quality of the rows to learn from. Gives the folded vectors and the bias."""
-    usable = labelled.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-    sample, counts = sample_by_class(usable.select("doc_id", "text", "quality"), "quality", ROWS_PER_CLASS)
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """docs (doc_id, text) and labels (doc_id, quality) of the rows to learn from. Gives the folded vectors and the bias."""
+    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS)).select("doc_id", "text")
+    sample, counts = labelled_sample(usable, labels, "quality", ROWS_PER_CLASS)
     if len(counts) < 2:
         return np.zeros(0, np.float32), 0.0 if not counts else 30.0 if 1 in counts else -30.0
-    texts, labels, taken = [], [], {0: 0, 1: 0}
+    texts, classes, taken = [], [], {0: 0, 1: 0}
     for r in sample.orderBy("doc_id", "text").toLocalIterator():
         if taken[r["quality"]] < 2 * ROWS_PER_CLASS:  # the stated bound; the share keeps about half of it
             taken[r["quality"]] += 1
             texts.append(r["text"])
-            labels.append(r["quality"])
-    y = np.array(labels)
-    weight = np.array([counts[k] / max(1, taken[k]) for k in (0, 1)])
+            classes.append(r["quality"])
+    if not all(taken.values()):
+        return np.zeros(0, np.float32), 30.0 if taken[1] else -30.0 if taken[0] else 0.0
+    y = np.array(classes)
+    weight = np.array([counts[k] / taken[k] for k in (0, 1)])
     weight /= (weight * np.array([taken[0], taken[1]])).sum() / len(y)
     vectors, out, bias = train_numpy(texts, y, weight[y].astype(np.float32))
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
@@ -156,7 +158,7 @@ def score(spark, docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs.where(fold(4) != 2).join(labels.where(fold(4) != 2), "doc_id"))
+    model = train(docs.where(fold(4) != 2), labels.where(fold(4) != 2))
     return score(spark, docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
