@@ -12,8 +12,8 @@ Training takes a bounded sample of the learning rows: about ROWS_PER_LANG docume
 of the id, none over MAX_TRAIN_CHARS long. Scoring covers every byte of every text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; equal codes go to the first language by
-name; with no learning rows all is `und`; repeated rows are scored each; an empty table gives an empty result; other
-columns are ignored.
+name; with no learning rows all is `und`; repeated rows are scored each; an empty table gives an empty result; a null id stays null;
+other columns are ignored.
 """
 
 from __future__ import annotations

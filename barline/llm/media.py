@@ -10,7 +10,8 @@ shards, so a lost executor leaves at most shards that no row names.
 
 Defined cases: a null text is the empty payload; payloads are padded with bytes 0 to a positive multiple of 64, so no
 image is empty; repeated rows share a member where they share a shard; texts of any length make one member; an empty
-table gives an empty index; other columns are ignored.
+table gives an empty index; a null id stays null;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ within a bucket are swept together.
 
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last; repeated rows are rows of
 their own; documents of size 0 take 0 words; an empty table gives an empty result; a source all of whose documents are
-empty has target 0. Columns besides the named ones are ignored.
+empty has target 0; a row with a null id is mixed like any other, first in its source's order. Columns besides the
+named ones are ignored.
 """
 
 from __future__ import annotations
@@ -113,10 +114,10 @@ def takings(spark, sized: DataFrame, targets: DataFrame) -> DataFrame:
     A source's target is so many whole passes of its stream and a part of one more; the document at the end of that
     part gives only the words that are missing, so that a source's words add up to its target but for rounding.
     """
-    keyed = sized.withColumn("_order", F.md5(F.col("doc_id").cast("string")))
+    keyed = sized.withColumn("_order", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
     with_targets = keyed.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # the first 28 bits of the order key, scaled to the number of the source's buckets
-    leading = F.conv(F.substring("_order", 1, 7), 16, 10).cast("long")
+    leading = F.coalesce(F.conv(F.substring("_order", 1, 7), 16, 10).cast("long"), F.lit(0))
     n_buckets = F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS))
     bucketed = with_targets.withColumn("_bucket", F.floor(leading * n_buckets / F.lit(float(1 << 28))).cast("long"))
     sums = bucketed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))

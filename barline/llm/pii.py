@@ -16,7 +16,7 @@ possessive or anchored at run starts, so that they take linear time on texts wit
 
 Defined cases: a null text is empty and has no span; repeated rows are searched each; spans of one kind never overlap,
 base first; spans of different kinds may; offsets are code points, ends exclusive; an empty table gives an empty result
-and no added spans; other columns are ignored.
+and no added spans; a null id and other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -240,15 +240,15 @@ def accepted(model: dict[int, list[float]]):
     return lambda c: c["base"] | F.array_contains(codes, code(c["kind"], [F.get(c["votes"], F.lit(j)) for j in range(N_VOTES)], c["form"]))
 
 
-def spans(found: DataFrame, model: dict[int, list[float]]) -> DataFrame:
-    """found with spans: array<struct<kind, start, end, base>> by kind and start, in place of _candidates."""
+def spans(found: DataFrame, model: dict[int, list[float]], name: str = "spans") -> DataFrame:
+    """found with a column of spans, array<struct<kind, start, end, base>> by kind and start, in place of _candidates."""
     kept = F.transform(F.filter("_candidates", accepted(model)), lambda c: F.struct(c["kind"], c["start"], c["end"], c["base"]))
-    return found.withColumn("spans", F.array_sort(kept)).drop("_candidates")
+    return found.withColumn(name, F.array_sort(kept)).drop("_candidates")
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """docs (text and any other columns) with spans. Reads docs twice: to train, and to mark."""
-    return spans(find(docs), train(find(docs.select("text"))))
+def personal_data(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs (text and any other columns) with a column of spans. Reads docs twice: to train, and to mark."""
+    return spans(find(docs), train(find(docs.select("text"))), name)
 
 
 def listed(found: Column) -> Column:

@@ -11,7 +11,8 @@ class, and a word's numbers are summed once and remembered, so a text costs one
 
 Defined cases: a null or empty text has no features and scores the output's bias; without labels, or with one label
 only, the score is that label's share (0.5 without any); repeated rows are scored each; an empty table gives an empty
-result; other columns are ignored; texts of any length are scored whole.
+result; a null id stays null;
+other columns are ignored; texts of any length are scored whole.
 """
 
 from __future__ import annotations

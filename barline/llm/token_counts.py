@@ -5,7 +5,8 @@ again. A text falls into chunks that begin at white space, and these into pre-to
 token counts one, and only the others are merged. Special strings are left to the library, in the chunk they stand in.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; texts of any length are counted whole; repeated rows are
-counted each; an empty table gives an empty result; other columns are ignored.
+counted each; an empty table gives an empty result; a null id stays null;
+other columns are ignored.
 """
 
 from __future__ import annotations

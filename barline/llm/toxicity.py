@@ -17,7 +17,8 @@ about SAMPLE_ROWS of each label; scoring covers every word of every text.
 
 Defined cases: a null or empty text has no hits and scores the model's base rate; without labels the stated lexicon
 and prior weights hold; a document with several labels is learned from under each; repeated rows are scored each; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; a null id stays null;
+other columns are ignored.
 """
 
 from __future__ import annotations

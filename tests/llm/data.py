@@ -7,7 +7,7 @@ import zlib
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use themselves.
-CLASHING = ("score", "size", "target", "fp", "piece", "spans", "sketch", "length", "_key", "toxic", "rank", "position", "taken")
+CLASHING = ("score", "size", "target", "fp", "piece", "spans", "sketch", "length", "_key", "toxic", "rank", "position", "pass", "taken")
 
 WORDS = {
     "en": "the of and that erst anion shore wharf edly tion ing heath oner".split(),
