@@ -16,9 +16,18 @@ the links. Equal fingerprints are one node from the start.
 
 Components come from alternating large and small stars, each round kept in the shared folder.
 
+Two bits are far less than a fifth of the shingles: copies that resemble each other to 0.8 differ in 5 to 14 bits, a
+radius for which masks that cover every pair would run to thousands. Where a similarity is asked for, documents are
+therefore linked in a second way as well: BANDS keys of three minima each out of a one-permutation min-hash of the same
+shingles bring documents together, each is held against four of its bucket, the ends of two orders, and bottom-K
+sketches decide, or, near the line, the shingles themselves. That way is near to whole, not whole: a pair of similarity
+0.8 shares no key with a chance of about one in 100,000, and of a bucket's members only four are held against all
+others.
+
 Defined cases: a null text or one without a word has fingerprint 0, linked like any other; one with fewer words than a
 shingle has the whole sequence as its one shingle; a bit set in exactly half the hashes is 0; repeated rows, of equal
-ids or not, are of one component; an empty table gives an empty result; other columns are ignored.
+ids or not, are of one component; an empty table gives an empty result; rows without an
+id link as well, but name no component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,44 +39,81 @@ from pyspark.sql import functions as F
 
 from ._tables import shared_folder, table, written
 from ._words import slices
+from .fingerprint import resemblance
 
 RADIUS = 2
 SHINGLE_WORDS = 5
 SEED = 42
 #: Shingles hashed in one go.
 BLOCK = 1 << 15
+#: For links by similarity: hashes in a sketch, keys, and minima in a key.
+SKETCH, BANDS, BAND_ROWS = 128, 16, 3
+#: How far a sketch's estimate may be off: three deviations.
+UNSURE = 0.12
 
 
-def fingerprint(text: str, words_each: int = SHINGLE_WORDS) -> int:
-    """ASCII letters are lower-cased and words are what ASCII white space parts."""
+def shingle_hashes(text: str, words_each: int = SHINGLE_WORDS):
+    """Hashes of a text's shingles, repeats included, a block at a time. ASCII letters are lower-cased and words are
+    what ASCII white space parts."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     stops = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - words_each + 1)
     first, last = (stops - lengths)[:n].tolist(), stops[len(words) - n :].tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8")
+
+
+def fingerprint(blocks) -> int:
+    """64 bits of the hashes in blocks; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long."""
+def sketch_and_bands(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The SKETCH smallest distinct hashes, as signed numbers, and BANDS keys; none of either without shingles."""
+    if not blocks:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = np.unique(np.concatenate([np.unique(b) for b in blocks]))
+    bins = BANDS * BAND_ROWS
+    least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes % np.uint64(bins)).astype(np.int64), hashes)
+    have = np.flatnonzero(least != np.iinfo(np.uint64).max)
+    if len(have):  # an empty bin takes the next one's
+        least = least[have[np.searchsorted(have, np.arange(bins)) % len(have)]]
+    mixed = least.reshape(BANDS, BAND_ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(BAND_ROWS):
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ mixed[:, j]
+    return np.sort(hashes.view(np.int64))[:SKETCH], key.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, sketched: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint's 64 bits as a signed long; if asked for, sketch and bands."""
 
     def compute(batches):
         for batch in batches:
             for part in slices(batch):
-                found = np.array([fingerprint(t or "", words_each) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                blocks = [list(shingle_hashes(t or "", words_each)) for t in part.column("text").to_pylist()]
+                found = np.array([fingerprint(b) for b in blocks], np.uint64)
+                columns, names = [part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                if sketched:
+                    more = [sketch_and_bands(b) for b in blocks]
+                    columns += [pa.array([m[i] for m in more], pa.list_(pa.int64())) for i in (0, 1)]
+                    names += ["sketch", "bands"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", sketch array<long>, bands array<long>" * sketched
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(compute, schema)
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -116,19 +162,60 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = written(_small_star(_large_star(edges)), folder, f"stars{step}")
 
 
-def link(spark, prints: DataFrame, folder: str) -> DataFrame:
-    """prints (a written table with doc_id and fp) with component_id, the smallest doc_id that links lead to."""
-    roots = components(ties(prints.select("fp").distinct()), folder).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+def exact_resemblance(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
+    """pairs (u, v) with r, the share of the distinct shingles of either fingerprint's document that both have."""
+    fps = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    spoken = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+
+    def compute(batches):
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique(np.concatenate(b)).view(np.int64) if (b := list(shingle_hashes(t or "", words_each))) else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(spoken, "doc_id").select("fp", "text")
+    sets = texts.mapInArrow(compute, "fp long, s array<long>").groupBy("fp").agg(F.first("s").alias("s"))
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", (common / F.greatest(F.lit(1), F.size("a") + F.size("b") - common)).alias("r"))
+
+
+def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: int, folder: str) -> DataFrame:
+    """Edges u > v between fingerprints of documents whose shingles resemble each other that much. Sketches decide
+    where they are sure; near the line the shingles themselves do."""
+    each = written(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), folder, "sketches")
+    keyed = each.select("fp", F.posexplode("bands").alias("t", "key"))
+    order = F.xxhash64("fp")
+    ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", order).alias("first"), F.max_by("fp", order).alias("last")).where("lo < hi")
+    met = keyed.join(ends, ["t", "key"]).select("fp", F.explode(F.array_distinct(F.array("lo", "hi", "first", "last"))).alias("other")).where("fp <> other")
+    pairs = met.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
+    a, b = each.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), each.select(F.col("fp").alias("v"), F.col("sketch").alias("b"))
+    guessed = pairs.join(a, "u").join(b, "v").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
+    guessed = written(guessed.where(F.col("r") >= similarity - UNSURE), folder, "pairs")
+    close = exact_resemblance(docs, prints, guessed.where(F.col("r") < similarity + UNSURE).select("u", "v"), words_each)
+    return guessed.where(F.col("r") >= similarity + UNSURE).unionByName(close.where(F.col("r") >= similarity)).select("u", "v")
+
+
+def link(spark, prints: DataFrame, folder: str, more: DataFrame | None = None) -> DataFrame:
+    """prints (a written table with doc_id and fp) with component_id, the smallest doc_id that links lead to. more:
+    further edges between fingerprints."""
+    edges = ties(prints.select("fp").distinct())
+    if more is not None:
+        edges = edges.unionByName(more).distinct()
+    prints = prints.select("doc_id", "fp")
+    roots = components(edges, folder).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     by_root = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(by_root.join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def near_duplicates(spark, docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp, component_id for each of docs."""
+def near_duplicates(spark, docs: DataFrame, words_each: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for each of docs. Links are fingerprints within RADIUS bits and, if a similarity is
+    given, documents whose shingles resemble each other that much."""
     folder = shared_folder(spark)
-    return link(spark, written(fingerprints(docs, words_each), folder, "fingerprints"), folder)
+    prints = written(fingerprints(docs, words_each, similarity is not None), folder, "fingerprints")
+    return link(spark, prints, folder, None if similarity is None else similar(docs, prints, similarity, words_each, folder))
 
 
 def hex64(fp: Column) -> Column:

@@ -21,16 +21,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies, the document of the smallest id. Rows of equal ids are one document."""
-    found = simhash.near_duplicates(spark, docs)
+    """Keeps, of each group of near copies (five-word shingles, a similarity of 0.8 or more), the document of the
+    smallest id. Rows of equal ids are one document; a row without an id is none."""
+    found = simhash.near_duplicates(spark, docs, similarity=0.8)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind. No document goes; n_chars, where there is one, follows the text."""
-    marked = pii.personal_data(docs)
-    out = marked.withColumn("text", F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("spans"))))
+    marked = pii.personal_data(docs, "_pii_spans")
+    out = marked.withColumn("text", F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("_pii_spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -40,9 +41,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """A row for each time that the mix takes a document, in training order. Texts stay whole: the one document of a
     source at which its target ends is taken if the target asks for half of it or more."""
     order = mixing.curriculum(mixing.mix(spark, docs))
-    order = order.where((F.col("size") > 0) & (2 * F.col("words") >= F.col("size"))).select("doc_id", "position", "pass")
+    order = order.where((F.col("size") > 0) & (2 * F.col("words") >= F.col("size"))).select("doc_id", F.col("position").alias("_mix_position"), F.col("pass").alias("_mix_pass"))
     texts = docs.dropDuplicates(["doc_id"])
-    keys = ("position", "doc_id", "pass")
+    keys = ("_mix_position", "doc_id", "_mix_pass")
     return texts.join(order, "doc_id").repartitionByRange(*keys).sortWithinPartitions(*keys).select(docs.columns)
 
 

@@ -48,6 +48,13 @@ def test_every_query_answers_for_every_row(spark, tables, name, kind):
     assert not set(got.columns) & (set(CLASHING) - {"score", "size", "target", "taken", "length", "piece", "spans"})
 
 
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_rows_without_an_id_stay(spark, tmp_path, name):
+    rows = [(None, "a text that has no id, mail x@y.org", "en", "a", 1), (None, None, None, None, None), *plain(8)]
+    got = QUERIES[name](spark, saved(spark, tmp_path / "t", rows, LABELS)).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 2
+
+
 # op1 -------------------------------------------------------------------------------------------------------------
 def test_media_round_trip(spark, tables):
     for kind in ("plain", "edges"):
@@ -240,6 +247,26 @@ def test_links_within_two_bits_none_missed(spark):
     assert [got[i] for i, _ in prints] == slow_components(prints)
 
 
+def test_similar_texts_link_and_others_do_not(spark):
+    rng, rows, groups = random.Random(9), [], []
+    for g in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 300]))]
+        for _ in range(rng.choice([1, 1, 4])):
+            copy = list(words)
+            if rng.random() < 0.7:
+                copy[rng.randrange(len(copy))] = "edit"
+            rows.append((len(rows), " ".join(copy), None, None, None))
+            groups.append(g)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, frame(spark, rows), similarity=0.8).collect()}
+    sets = [{tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)} for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                assert got[i] == got[j]
+            if groups[i] != groups[j]:
+                assert got[i] != got[j]
+
+
 def test_masks_cover_every_pair_of_bits():
     masks = simhash.covering_masks(2)
     assert all(any(not m >> i & 1 and not m >> j & 1 for m in masks) for i in range(64) for j in range(i))

@@ -5,9 +5,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from barline.llm import toxicity
 
-from .data import edges, saved, sentence
+from .data import CLASHING, edges, saved, sentence
 from .test_operators import slow_base, slow_components, slow_fingerprint
 
 
@@ -54,8 +53,16 @@ def test_stages(spark, tmp_path):
 
 
 def test_run_on_edges_and_nothing(spark, tmp_path):
-    for name, rows in (("edges", edges()), ("none", [])):
-        sf_dir = saved(spark, tmp_path / name, rows, [])
+    for name, rows in (("edges", [*edges(), (None, "no id", None, None, None)]), ("none", [])):
+        sf_dir = saved(spark, tmp_path / name, rows, [], extra=True)
         got = corpus_pipeline.run(spark, sf_dir)
         assert "sequence_id" in got.columns and got.count() <= 3 * len(rows) + 20
-    assert toxicity.INSULTS
+
+
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    sf_dir = saved(spark, tmp_path / "sf", corpus()[:20], [], extra=True)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(path := str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(path)
+        assert docs.count() and all(r[c] == c for r in docs.collect() for c in CLASHING)
