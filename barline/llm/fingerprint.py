@@ -10,7 +10,7 @@ and a range also gets the first document of the next one, so each finds its succ
 
 Defined cases: a null text is empty; a text with fewer words than a shingle has the whole sequence as its one shingle;
 one without words has the empty sketch; two empty sketches are alike (1), an empty and another are not (0); rows of
-equal ids follow each other by text; a null id comes after all others; with one document only, it is its own successor;
+equal ids follow each other by a hash of their text; a null id comes after all others; with one document only, it is its own successor;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -109,7 +109,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_range", F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(-1)))
     # the first document of each range, the greatest by id, then the least by text, follows the last one of the range above
     order = [F.col("doc_id").desc_nulls_last(), F.col("_key").asc()]
-    keyed = keyed.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = keyed.withColumn("_key", F.xxhash64("text"))
     heads = keyed.groupBy("_range").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))).alias("m")).select("_range", F.col("m.i").alias("_i"))
     keys = keyed.select("_range", "doc_id", "_key").join(heads, "_range").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_i"))
     firsts = keys.groupBy("_range").agg(F.min("_key").alias("_k"), F.min("_i").alias("_i")).orderBy("_range").collect()  # one row a range
@@ -121,12 +121,13 @@ def with_next(docs: DataFrame) -> DataFrame:
         id_of = F.create_map(*(F.lit(x) for r in firsts for x in (r["_range"], r["_i"])))
         is_first = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.element_at(id_of, F.col("_range"))) & (F.col("_key") == F.element_at(key_of, F.col("_range")))
         given = F.when(is_first, F.element_at(at, F.col("_range")))
-    dealt = keyed.withColumn("_to", F.explode(F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")), F.struct(given.alias("r"), F.lit(1).alias("copy"))), lambda x: x["r"].isNotNull())))
-    w = Window.partitionBy("_to.r").orderBy(F.col("_to.copy"), *order)
-    after = dealt
-    for c in [c for c in ("text", "sketch") if c in docs.columns]:
-        after = after.withColumn(f"next_{c}", F.lead(c).over(w))
-    return after.where("_to.copy = 0").drop("_range", "_key", "_to")
+    targets = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")), F.struct(given.alias("r"), F.lit(1).alias("copy")))
+    dealt = keyed.withColumn("_to", F.explode(F.filter(targets, lambda x: x["r"].isNotNull())))
+    dealt = dealt.select(*docs.columns, "_key", F.col("_to.r").alias("_r"), F.col("_to.copy").alias("_copy"))
+    carried = [c for c in ("text", "sketch") if c in docs.columns]
+    w = Window.partitionBy("_r").orderBy("_copy", *order)
+    after = dealt.withColumn("_next", F.lead(F.struct(*carried)).over(w)).where("_copy = 0")
+    return after.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, k: int = K) -> DataFrame:
