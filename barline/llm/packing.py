@@ -12,7 +12,8 @@ corpus. The histogram of lengths, at most capacity rows, is all that the driver
 distributed, and a length that a third of all rows share is ranked in as many parts as the row count asks.
 
 Defined cases: a null or empty text is the end id alone; every piece of a document longer than a sequence is full but
-the last; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
+the last; repeated rows are documents of their own; an empty table gives an empty result; a null id stays null;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 import re
 import zlib
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,12 +92,18 @@ class WordIds:
         return [b"".join(map(known, w)) for w in words]
 
 
+@lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One for all tasks that a Python worker runs, so that each begins with the words of those before it."""
+    return WordIds(vocabulary)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document."""
     end, names = np.array([end_id], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        encode, step = WordIds(vocabulary), 4 * capacity
+        encode, step = word_ids(vocabulary), 4 * capacity
         for batch in batches:
             for part in slices(batch):
                 keys, out = part.column("doc_id").to_pylist(), []
