@@ -143,15 +143,25 @@ def attach_forward(panel: DataFrame, signals: DataFrame) -> DataFrame:
     return run(panel, [daily_ctes(), forward_ctes(), attached_ctes()], "SELECT * FROM attached", signals)
 
 
+def _on_attached(panel: DataFrame, signals: DataFrame, ctes: str, select: str) -> DataFrame:
+    """A statement over attached signals, which it reads several times and which are kept for that."""
+    attached = attach_forward(panel, signals).persist()
+    return panel.sparkSession.sql(render(f"WITH attached AS (SELECT * FROM {{attached}}), {ctes} {select}", "spark"), attached=attached)
+
+
 def per_signal_stats(panel: DataFrame, signals: DataFrame) -> DataFrame:
     """Sorted by t, nulls last."""
-    return run(panel, [daily_ctes(), forward_ctes(), attached_ctes(), stats_ctes()], "SELECT * FROM stats ORDER BY tstat DESC NULLS LAST, family, signal", signals)
+    return _on_attached(panel, signals, stats_ctes(), "SELECT * FROM stats ORDER BY tstat DESC NULLS LAST, family, signal")
+
+
+def decay(panel: DataFrame, signals: DataFrame) -> DataFrame:
+    """family, signal, year, abn_own, n_total."""
+    return _on_attached(panel, signals, decay_ctes(), "SELECT * FROM decay")
 
 
 def decay_by_year(panel: DataFrame, signals: DataFrame, years: list[int] | None = None) -> DataFrame:
-    """A column per year, as the table is read; the long form is what queries compare."""
-    long = run(panel, [daily_ctes(), forward_ctes(), attached_ctes(), decay_ctes()], "SELECT * FROM decay", signals)
-    return long.groupBy("family", "signal", "n_total").pivot("year", years).avg("abn_own")
+    """decay with a column per year."""
+    return decay(panel, signals).groupBy("family", "signal", "n_total").pivot("year", years).avg("abn_own")
 
 
 def family_portfolio(panel: DataFrame, signals: DataFrame, cost: float = ROUND_TRIP) -> DataFrame:

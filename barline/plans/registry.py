@@ -121,11 +121,14 @@ def studied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return panel, signals.detect(panel, _STUDIED).persist()
 
 
-def _study(name: str, ctes: list[str], select: str, doubles: str, spark_ctes: list[str] | None = None) -> None:
+def _study(name: str, ctes: list[str], select: str, doubles: str, spark_ctes: list[str] | None = None, by=None) -> None:
+    """by: a function of panel and signals that comes to the same in Spark, where reading a step once is worth it."""
     in_duckdb = render("WITH " + ", ".join([_BARS, _SIGNALS, *(c.format(panel="bars", signals="signals") for c in ctes)]) + " " + select, "duckdb")
 
     def query(spark, sf_dir):
         panel, found = studied(spark, sf_dir)
+        if by is not None:
+            return by(panel, found)
         return backtest.run(panel, spark_ctes or ctes, select, found if any("{signals}" in c for c in ctes) else None)
 
     register(name, query, in_duckdb, doubles)
@@ -136,8 +139,8 @@ _by_h = lambda *p: " ".join(f"{x}_{h}" for h in backtest.HORIZONS for x in p)  #
 _study("forward_returns", [_daily, _forward], "SELECT date, ticker, cc, oc, " + _by_h("no", "sc").replace(" ", ", ") + " FROM forward WHERE present", "cc oc " + _by_h("no", "sc"))
 _study("market_benchmark", [_daily], "SELECT date, mkt_cc, mkt_oc, " + _by_h("mkt_sc", "mkt_no").replace(" ", ", ") + " FROM market", "mkt_cc mkt_oc " + _by_h("mkt_sc", "mkt_no"))
 _study("attach_forward", [_daily, _forward, _attached], "SELECT date, ticker, signal, direction, " + _by_h("ret", "abn").replace(" ", ", ") + " FROM attached", _by_h("ret", "abn"))
-_study("signal_stats", [_daily, _forward, _attached, backtest.stats_ctes()], "SELECT * FROM stats", _by_h("abn") + " hit tstat net_per_trade net_daily_equiv")
-_study("decay_by_year", [_daily, _forward, _attached, backtest.decay_ctes()], "SELECT * FROM decay", "abn_own")
+_study("signal_stats", [_daily, _forward, _attached, backtest.stats_ctes()], "SELECT * FROM stats", _by_h("abn") + " hit tstat net_per_trade net_daily_equiv", by=backtest.per_signal_stats)
+_study("decay_by_year", [_daily, _forward, _attached, backtest.decay_ctes()], "SELECT * FROM decay", "abn_own", by=backtest.decay)
 _study(
     "newey_west",
     [_daily, "lone AS (SELECT 1 AS one, date, mkt_cc AS x FROM by_date)"],
