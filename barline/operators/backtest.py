@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.fragments import div, render
+from ..sources.kept import kept
 from .features import densify_sql
 
 HORIZONS = (1, 2, 3, 5, 10, 20)
@@ -145,7 +146,7 @@ def attach_forward(panel: DataFrame, signals: DataFrame) -> DataFrame:
 
 def _on_attached(panel: DataFrame, signals: DataFrame, ctes: str, select: str) -> DataFrame:
     """A statement over attached signals, which it reads several times and which are kept for that."""
-    attached = attach_forward(panel, signals).persist()
+    attached = kept(attach_forward(panel, signals), "attached")
     return panel.sparkSession.sql(render(f"WITH attached AS (SELECT * FROM {{attached}}), {ctes} {select}", "spark"), attached=attached)
 
 

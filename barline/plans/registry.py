@@ -14,6 +14,7 @@ from ..functions.fragments import div, render, roll
 from ..operators import backtest, fusion, interaction, learned, recovery, rules, shapes, signals, studies
 from ..operators.features import densify, densify_sql, derive, derive_sql, stages_for
 from ..sources import bars, files, simulator
+from ..sources.kept import kept
 from ..streaming import bars as stream_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,8 +118,8 @@ _SIGNALS = f"signals AS ({signals.detect_sql([], 'bars', _STUDIED).replace('dens
 
 def studied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The weekly bars and their signals, both kept: event studies read each several times."""
-    panel = bars.walk(spark, sf_dir).persist()
-    return panel, signals.detect(panel, _STUDIED).persist()
+    panel = kept(bars.walk(spark, sf_dir), "bars")
+    return panel, kept(signals.detect(panel, _STUDIED), "signals")
 
 
 def _study(name: str, ctes: list[str], select: str, doubles: str, spark_ctes: list[str] | None = None, by=None) -> None:
@@ -126,10 +127,10 @@ def _study(name: str, ctes: list[str], select: str, doubles: str, spark_ctes: li
     in_duckdb = render("WITH " + ", ".join([_BARS, _SIGNALS, *(c.format(panel="bars", signals="signals") for c in ctes)]) + " " + select, "duckdb")
 
     def query(spark, sf_dir):
+        if not any("{signals}" in c for c in ctes):
+            return backtest.run(kept(bars.walk(spark, sf_dir), "bars"), spark_ctes or ctes, select)
         panel, found = studied(spark, sf_dir)
-        if by is not None:
-            return by(panel, found)
-        return backtest.run(panel, spark_ctes or ctes, select, found if any("{signals}" in c for c in ctes) else None)
+        return by(panel, found) if by is not None else backtest.run(panel, spark_ctes or ctes, select, found)
 
     register(name, query, in_duckdb, doubles)
 
@@ -191,7 +192,7 @@ register("knn_past_cohort", lambda spark, sf_dir: studies.analogs(_events(spark,
 
 
 def _forks(spark, sf_dir):
-    events = _events(spark, sf_dir).persist()
+    events = kept(_events(spark, sf_dir), "events")
     return studies.forks(events, studies.analogs(events, least=60))
 
 
@@ -235,7 +236,7 @@ register("simulate", lambda spark, sf_dir: simulator.simulate(spark, _SMALL))
 
 
 def _recovery(spark, sf_dir):
-    made = simulator.simulate(spark, _SMALL).persist()
+    made = kept(simulator.simulate(spark, _SMALL), "simulated")
     return recovery.ground_truth_recovery(signals.detect(made.drop(*simulator.TRUTH), rules.rules("gaps", "anchors", "candles")), made)
 
 
