@@ -20,7 +20,7 @@ from ..streaming import bars as stream_bars
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-DIGITS = 6
+DIGITS = 7
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
