@@ -19,10 +19,14 @@ Components come from alternating large and small stars, each round kept in the s
 Two bits are far less than a fifth of the shingles: copies that resemble each other to 0.8 differ in 5 to 14 bits, a
 radius for which masks that cover every pair would run to thousands. Where a similarity is asked for, documents are
 therefore linked in a second way as well: BANDS keys of three minima each out of a one-permutation min-hash of the same
-shingles bring documents together, each is held against four of its bucket, the ends of two orders, and bottom-K
-sketches decide, or, near the line, the shingles themselves. That way is near to whole, not whole: a pair of similarity
-0.8 shares no key with a chance of about one in 100,000, and of a bucket's members only four are held against all
-others.
+shingles bring documents together. In a bucket of at most SMALL all are held against each other, in a larger one each
+against four, the ends of two orders; bottom-K sketches decide, or, near the line, the shingles themselves. What a large
+bucket then still has in several components is held against the member of most links, and what is left after that goes
+through an exact join: two sets that resemble each other that much share one of their rarest shingles,
+so many as they may miss and one more. Only pairs of different components, and of sizes and places that allow the
+similarity, are compared, in blocks, by their whole sets. So no pair of a bucket goes untested, whatever the bucket's size. What may
+still be lost: a pair of similarity 0.8 shares no key with a chance of about one in 100,000, a sketch may err by more
+than UNSURE in a small bucket, and one document speaks for all of its fingerprint.
 
 Defined cases: a null text or one without a word has fingerprint 0, linked like any other; one with fewer words than a
 shingle has the whole sequence as its one shingle; a bit set in exactly half the hashes is 0; repeated rows, of equal
@@ -50,6 +54,8 @@ BLOCK = 1 << 15
 SKETCH, BANDS, BAND_ROWS = 128, 16, 3
 #: How far a sketch's estimate may be off: three deviations.
 UNSURE = 0.12
+#: Members of a bucket that are all held against each other; rounds of hubs in larger ones; rows of a block of a join.
+SMALL, HUB_ROUNDS, JOIN_ROWS = 16, 1, 512
 
 
 def shingle_hashes(text: str, words_each: int = SHINGLE_WORDS):
@@ -162,9 +168,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = written(_small_star(_large_star(edges)), folder, f"stars{step}")
 
 
-def exact_resemblance(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
-    """pairs (u, v) with r, the share of the distinct shingles of either fingerprint's document that both have."""
-    fps = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+def shingle_sets(docs: DataFrame, prints: DataFrame, fps: DataFrame, words_each: int) -> DataFrame:
+    """fp and s, the distinct shingles of the fingerprint's document, for each of fps."""
     spoken = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
 
     def compute(batches):
@@ -174,26 +179,91 @@ def exact_resemblance(docs: DataFrame, prints: DataFrame, pairs: DataFrame, word
                 yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(spoken, "doc_id").select("fp", "text")
-    sets = texts.mapInArrow(compute, "fp long, s array<long>").groupBy("fp").agg(F.first("s").alias("s"))
+    return texts.mapInArrow(compute, "fp long, s array<long>").groupBy("fp").agg(F.first("s").alias("s"))
+
+
+def exact_resemblance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) with r, the share of the distinct shingles of either fingerprint's document that both have."""
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", (common / F.greatest(F.lit(1), F.size("a") + F.size("b") - common)).alias("r"))
 
 
+def unsettled(members: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """members (t, key, fp) of buckets that the links leave in several components, with root, their component."""
+    roots = components(links, folder).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    rooted = written(members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), folder, "rooted")
+    several = rooted.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t", "key")
+    return written(rooted.join(several, ["t", "key"], "left_semi"), folder, "unsettled")
+
+
+def hub_pairs(members: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each bucket of members (t, key, fp, root) the one of most links that isn't among used (t, key, fp), and it
+    against the members of other components."""
+    degrees = links.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    best = F.max_by(F.struct(F.col("fp").alias("hub"), F.col("root").alias("hub_root")), F.struct("n", F.xxhash64("fp")))
+    hubs = members.join(used, ["t", "key", "fp"], "left_anti").join(degrees, "fp").groupBy("t", "key").agg(best.alias("h")).select("t", "key", "h.*")
+    met = members.join(hubs, ["t", "key"]).where("root <> hub_root")
+    return hubs.select("t", "key", F.col("hub").alias("fp")), met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
+
+
+def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs u > v of sets (fp, root, s) of different roots, among them all that resemble each other that much. Of
+    each set the rarest shingles count, so many that sets without a common one among them are too far apart; the first
+    common one of a pair tells how many may follow."""
+    spread = sets.select("fp", F.explode("s").alias("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle of one set only has no pair; these come first and need only be counted
+    ordered = spread.join(counts, "token").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
+    sized = sets.select("fp", "root", F.size("s").alias("n"))
+    placed = ordered.join(sized, "fp").select("fp", "root", "n", F.posexplode("o").alias("at", "x"), (F.col("n") - F.size("o")).alias("alone"))
+    first = placed.select("fp", "root", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
+    shared = first.groupBy("token").agg(F.ceil(F.count("*") / JOIN_ROWS).cast("long").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "blocks")
+    rows = first.join(shared, "token")
+    a = rows.select("token", F.pmod(F.xxhash64("fp"), "blocks").alias("block"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("at").alias("au"))
+    b = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    may = F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av")) >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
+    alike = (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & may
+    return a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.block") == F.col("b.block")) & alike).select("u", "v").distinct()
+
+
 def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: int, folder: str) -> DataFrame:
-    """Edges u > v between fingerprints of documents whose shingles resemble each other that much. Sketches decide
-    where they are sure; near the line the shingles themselves do."""
+    """Edges u > v between fingerprints of documents whose shingles resemble each other that much, enough of them for
+    the components. Sketches decide where they are sure; near the line the shingles themselves do."""
     each = written(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), folder, "sketches")
+    a, b = each.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), each.select(F.col("fp").alias("v"), F.col("sketch").alias("b"))
+
+    def alike(pairs: DataFrame, step: str) -> DataFrame:
+        guessed = pairs.join(a, "u").join(b, "v").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
+        guessed = written(guessed.where(F.col("r") >= similarity - UNSURE), folder, f"pairs{step}")
+        near = guessed.where(F.col("r") < similarity + UNSURE).select("u", "v")
+        close = exact_resemblance(near, shingle_sets(docs, prints, near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), words_each))
+        return written(guessed.where(F.col("r") >= similarity + UNSURE).unionByName(close.where(F.col("r") >= similarity)).select("u", "v"), folder, f"links{step}")
+
     keyed = each.select("fp", F.posexplode("bands").alias("t", "key"))
     order = F.xxhash64("fp")
-    ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", order).alias("first"), F.max_by("fp", order).alias("last")).where("lo < hi")
-    met = keyed.join(ends, ["t", "key"]).select("fp", F.explode(F.array_distinct(F.array("lo", "hi", "first", "last"))).alias("other")).where("fp <> other")
-    pairs = met.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
-    a, b = each.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), each.select(F.col("fp").alias("v"), F.col("sketch").alias("b"))
-    guessed = pairs.join(a, "u").join(b, "v").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
-    guessed = written(guessed.where(F.col("r") >= similarity - UNSURE), folder, "pairs")
-    close = exact_resemblance(docs, prints, guessed.where(F.col("r") < similarity + UNSURE).select("u", "v"), words_each)
-    return guessed.where(F.col("r") >= similarity + UNSURE).unionByName(close.where(F.col("r") >= similarity)).select("u", "v")
+    ends = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", order).alias("first"), F.max_by("fp", order).alias("last")).where("lo < hi")
+    inside = written(keyed.join(ends, ["t", "key"]), folder, "inside")
+    few = inside.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select(F.explode("fps").alias("fp"), "fps").select("fp", F.explode("fps").alias("other"))
+    large = inside.where(F.col("n") > SMALL)
+    met = large.select("fp", F.explode(F.array_distinct(F.array("lo", "hi", "first", "last"))).alias("other"))
+    links = alike(few.unionByName(met).where("fp <> other").select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct(), "")
+
+    used = written(ends.where(F.col("n") > SMALL).select("t", "key", F.explode(F.array_distinct(F.array("lo", "hi", "first", "last"))).alias("fp")), folder, "used")
+    members = unsettled(large.select("t", "key", "fp"), links, f"{folder}/large")
+    for k in range(HUB_ROUNDS):
+        if members.isEmpty():
+            return links
+        hubs, pairs = hub_pairs(members, links, used)
+        more = alike(pairs, f"-hubs{k}")
+        if more.isEmpty():
+            break
+        links, used = links.unionByName(more), used.unionByName(written(hubs, folder, f"hubs{k}"))
+        members = unsettled(members.drop("root"), links, f"{folder}/large{k}")
+    left = members.select("fp", "root").distinct()
+    sets = written(shingle_sets(docs, prints, left.select("fp"), words_each).join(left, "fp"), folder, "sets")
+    pairs = written(sharing_pairs(sets, similarity), folder, "sharing")
+    return links.unionByName(exact_resemblance(pairs, sets.select("fp", "s")).where(F.col("r") >= similarity).select("u", "v"))
 
 
 def link(spark, prints: DataFrame, folder: str, more: DataFrame | None = None) -> DataFrame:

@@ -267,6 +267,58 @@ def test_similar_texts_link_and_others_do_not(spark):
                 assert got[i] != got[j]
 
 
+def linked_by_brute_force(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """The least row of each row's component, of links by the shared share of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def least(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if (r := least(i)) != (s := least(j)) and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[max(r, s)] = min(r, s)
+    return [least(i) for i in range(len(sets))]
+
+
+def star(rng, copies: int, edits: int = 4) -> list[str]:
+    """An original among copies that have each so many words of 200 changed: 0.8 or more to it, less to each other."""
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    out = []
+    for _ in range(copies):
+        copy = list(words)
+        for at in rng.sample(range(200), edits):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    out.insert(rng.randrange(copies), " ".join(words))
+    return out
+
+
+def test_stars_of_copies_are_linked_whole(spark):
+    rng = random.Random(12)
+    texts = star(rng, 1200) + star(rng, 40)
+    want = linked_by_brute_force(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_what_hubs_leave_open_is_joined_exactly(spark, monkeypatch):
+    """Copies without their original, a few of them in pairs and chains, and no round of hubs."""
+    rng = random.Random(13)
+    monkeypatch.setattr(simhash, "HUB_ROUNDS", 0)
+    texts = [t for t in star(rng, 150, 6)]
+    for i in range(0, 40, 2):
+        words = texts[i].split()
+        words[rng.randrange(200)] = "other"
+        texts.append(" ".join(words))
+    want = linked_by_brute_force(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_masks_cover_every_pair_of_bits():
     masks = simhash.covering_masks(2)
     assert all(any(not m >> i & 1 and not m >> j & 1 for m in masks) for i in range(64) for j in range(i))
