@@ -1,31 +1,47 @@
-"""Reading tables and keeping intermediate ones in the folder that the cluster shares."""
+"""Reading tables, naming rows, and joins that one hot key doesn't hold up."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from ..sources.kept import drop, shared_folder, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ROW", "drop", "join_split", "shared_folder", "table", "with_row", "written"]
 
+#: The two columns that name a row by all that it holds.
+ROW = ("_row_a", "_row_b")
+#: A key of more than this share of all rows is hot; there are no more than its inverse of them.
+HOT_SHARE, HOT_ROWS, HOT_PARTS = 1 / 256, 256, 64
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a temporary one only in local mode, where nothing set it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="barline-")
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/barline-{uuid.uuid4().hex}"
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df as a table written to the shared folder: its lineage is cut and lost executors don't lose it."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with ROW: 128 bits of hash over every column (but maps, which have no hash), so that true copies share it
+    and rows that differ anywhere don't."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+    # xxhash64 passes over nulls: where they stand counts as well
+    nulls = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in columns))
+    return docs.withColumn(ROW[0], F.xxhash64(*columns, nulls)).withColumn(ROW[1], F.xxhash64(F.lit(1), nulls, *columns))
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """left joined with right by key, where a third of left's rows may share one. right has a row for each key at most,
+    salt is a column of left that tells rows of a key apart.
+
+    Hot keys, at most 1 / HOT_SHARE of them, are counted first; their rows are dealt to HOT_PARTS parts, and the one
+    row of right goes to each part.
+    """
+    counts = left.groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[key] for r in counts.where(F.col("count") > max(HOT_ROWS, total * HOT_SHARE)).collect() if r[key] is not None]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    dealt = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(salt), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+    every = right.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(every, [key, "_part"], how).drop("_part")

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -348,11 +349,21 @@ def test_pieces_equal_the_library(spark, tables, kind):
 def test_hard_words_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    texts = ["don't stop", "ÀÉ İstanbul ﬁne", "áb c", "x<|endoftext|>y <|startoftext|>", "\x1c\x1d a\u0085b 　c", "1234 ½ ² x̂", "words... and!? (more)", "ʼtwas 'll 'VE", "Å Ω µ ß ÿ"]
-    encode = packing.WordIds(path, most=5)
-    for _ in range(2):
-        for t, data in zip(texts, encode(texts), strict=True):
-            assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["don't stop", "", " \t", None, "ÀÉ İstanbul ﬁne", "áb c", "x<|endoftext|>y <|startoftext|>", "\x1c\x1d a\u0085b 　c", "1234 ½ ² x̂", "words... and!? (more)", "ʼtwas 'll 'VE", "Å Ω µ ß ÿ"]
+    encode = packing.WordIds(path)
+    for some in (texts, texts[::-1]):
+        ids, edges = encode(pa.array(some))
+        for t, a, b in zip(some, edges[:-1], edges[1:], strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_merging_by_rank_equals_the_library():
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    tokenizer, encode = Tokenizer.from_file(path), packing.WordIds(path)
+    assert encode.ranks_hold
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCéÜñß") for _ in range(rng.randint(1, 24))) + rng.choice(["", "", ".", "?!", "..."]) for _ in range(5000)]
+    ids, edges = encode(pa.array(words))
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
 def test_packing_is_close_to_the_least_and_ranks_in_parts(spark, monkeypatch):
@@ -379,6 +390,29 @@ def test_packing_is_close_to_the_least_and_ranks_in_parts(spark, monkeypatch):
     assert len(fill) <= len(gaps) * 1.01 + 1
 
 
+def test_a_sweep_gives_each_piece_the_smallest_gap_that_is_free():
+    rng = random.Random(9)
+    for _ in range(50):
+        gaps = {rng.randint(1, 60): rng.randint(1, 4) for _ in range(8)}
+        units = [(n, 1, rng.randint(1, 4)) for n in rng.sample(range(1, 60), 8)]
+        free, want, left = sorted(g for g, n in gaps.items() for _ in range(n)), {}, []
+        for length, _, n in sorted(units, reverse=True):
+            for _ in range(n):
+                if fits := [g for g in free if g >= length]:
+                    free.remove(min(fits))
+                    left.append(min(fits) - length)
+                    want[length] = want.get(length, 0) + 1
+        _, closes, after = packing.depths(gaps, units)
+        assert {k: n for k, (_, n) in closes.items() if n} == want
+        assert sorted(g for g, n in after.items() for _ in range(n)) == sorted(g for g in free + left if g)
+
+
+def test_repeated_rows_without_ids_are_packed_each(spark):
+    found = spark.createDataFrame([(None, 0, 7, 1)] * 900 + [(1, 0, 4000, 2)] * 5, "doc_id long, piece int, length long, ids_crc32 long")
+    rows = packing.pack(spark, found).collect()
+    assert len(rows) == 905 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 905 and len({r["sequence_id"] for r in rows}) == 7
+
+
 @pytest.mark.parametrize("kind", ["plain", "edges"])
 def test_token_counts_equal_the_library(spark, tables, kind):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
