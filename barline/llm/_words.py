@@ -75,9 +75,10 @@ class Split:
 
     def sums(self, of_places: np.ndarray) -> np.ndarray:
         """A sum for each text over numbers that stand at its places."""
-        if not len(of_places):
-            return np.zeros(len(self), of_places.dtype)
-        found = np.add.reduceat(of_places, np.minimum(self.edges[:-1], len(of_places) - 1)) if len(self) else of_places[:0]
+        if not len(self):
+            return of_places[:0]
+        # a place more, so that texts without words at the end begin somewhere
+        found = np.add.reduceat(np.append(of_places, of_places.dtype.type(0)), self.edges[:-1])
         return np.where(self.counts > 0, found, 0)
 
 
