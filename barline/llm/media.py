@@ -2,8 +2,11 @@
 
 A payload is stored as an 8-bit greyscale PNG, 64 samples wide, which holds any bytes losslessly and compresses them.
 Each task writes shards of its own to the shared folder; a member is named by the SHA-256 of its stored form, and a
-payload that a shard already holds isn't stored again. A row of the index carries digest, shard, offset and length. A
-header-only range read of the first bytes of a member fills the metadata columns; only reading a payload fetches all.
+payload that a shard already holds isn't stored again. Where several shards hold a payload, all rows of its digest get
+the address of one of them, the least by shard and offset, so an address follows from the content; the other members
+are spare, which spares shuffling the payloads. A row of the index carries digest, shard, offset and length. A
+header-only range read of the first bytes of a member fills the metadata columns; reading a payload fetches all of it,
+once for every row.
 
 A task that is run again writes new shards under new names, and only the rows of the attempt that Spark keeps point to
 shards, so a lost executor leaves at most shards that no row names.
@@ -21,14 +24,14 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._tables import shared_folder, table, written
+from ._tables import join_split, shared_folder, table, written
 from ._words import slices
 
 WIDTH = 64
@@ -74,11 +77,16 @@ def decode_png(data: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, width + 1)[:, 1:].tobytes()
 
 
+def store_of(folder: str):
+    """pyarrow's file system and path of a folder that Spark may name by another scheme."""
+    return fs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith(("s3a://", "s3n://")) else folder)
+
+
 class Shards:
     """Writes members to tar files below a folder, in any store that pyarrow reaches."""
 
     def __init__(self, folder: str):
-        self.files, self.root = fs.FileSystem.from_uri(folder)
+        self.files, self.root = store_of(folder)
         self.files.create_dir(self.root, recursive=True)
         self.out = None
 
@@ -126,7 +134,9 @@ def store(spark, docs: DataFrame, folder: str) -> DataFrame:
         finally:
             shards.close()
 
-    return written(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(write, INDEX), folder, "index")
+    rows = written(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(write, INDEX), folder, "rows")
+    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("_at")).select("digest", "_at.shard", "_at.offset")
+    return written(join_split(rows.drop("shard", "offset"), one, "digest", "doc_id").select([f.name for f in rows.schema]), folder, "index")
 
 
 INDEX_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -136,7 +146,7 @@ class Ranges:
     """Range reads of a folder's shards; keeps the last shard open."""
 
     def __init__(self, folder: str):
-        self.files, self.root = fs.FileSystem.from_uri(folder)
+        self.files, self.root = store_of(folder)
         self.name = self.file = None
 
     def read(self, shard: str, offset: int, length: int) -> bytes:
@@ -176,19 +186,16 @@ def read_payloads(described: DataFrame, folder: str) -> DataFrame:
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def read(batches):
-        ranges, recent = Ranges(f"{folder}/shards"), OrderedDict()
+        ranges = Ranges(f"{folder}/shards")
         for batch in batches:
             out = []
             for r in batch.select(["doc_id", "n_bytes", "digest", "shard", "offset", "length", "payload_bytes"]).to_pylist():
-                if r["digest"] not in recent:
-                    data = ranges.read(r["shard"], r["offset"], r["length"])
-                    payload, found = decode_png(data), hashlib.sha256(data).hexdigest()
-                    if found != r["digest"] or len(payload) != r["payload_bytes"]:
-                        raise ValueError(f"the stored form of document {r['doc_id']} is not what the index says")
-                    recent[r["digest"]] = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), found, feature(np.frombuffer(payload, np.uint8)))
-                    if len(recent) > 4096:
-                        recent.popitem(last=False)
-                out.append((r["doc_id"], r["n_bytes"], r["payload_bytes"], *recent[r["digest"]]))
+                data = ranges.read(r["shard"], r["offset"], r["length"])
+                payload, found = decode_png(data), hashlib.sha256(data).hexdigest()
+                if found != r["digest"] or len(payload) != r["payload_bytes"]:
+                    raise ValueError(f"the stored form of document {r['doc_id']} is not what the index says")
+                described = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), found, feature(np.frombuffer(payload, np.uint8)))
+                out.append((r["doc_id"], r["n_bytes"], r["payload_bytes"], *described))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
