@@ -26,8 +26,9 @@ from ._tables import table
 SHINGLE_WORDS = 5
 K = 64
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-#: Documents of one range of ids, about, and the most ranges that the search for a range looks through.
-RANGE_ROWS, MAX_RANGES = 2048, 1 << 12
+#: Documents of one range of ids, about: so many while there are no more than MANY_RANGES ranges; then ranges grow as
+#: the square root of the documents, and their number, which the driver sees, does as well.
+RANGE_ROWS, MANY_RANGES = 2048, 1 << 12
 
 
 def shingle_hashes(text: Column, words_each: int = SHINGLE_WORDS) -> Column:
@@ -85,42 +86,50 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)") if values else F.array().cast("array<long>")
+
+
 def range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most key, by halving."""
-    steps = [1 << i for i in range(max(1, len(bounds).bit_length()) - 1, -1, -1)]
-    held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    go = lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), go)
+    steps, held = [1 << i for i in range(max(1, len(bounds)).bit_length() - 1, -1, -1)], longs(bounds)
+    go = lambda at, step: F.when(F.coalesce(F.get(held, (at + step - 1).cast("int")) <= key, F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(longs(steps), F.lit(0).cast("long"), go)
+
+
+def n_ranges(n: int) -> int:
+    """How many ranges n documents are dealt to."""
+    ranges = math.ceil(n / RANGE_ROWS)
+    return ranges if ranges <= MANY_RANGES else math.ceil(math.sqrt(ranges * MANY_RANGES))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with next_text, the text of the next document by descending id; the last one's is the
     first's. Also next_sketch, for docs with a column sketch.
 
-    The driver sees the range bounds, at most MAX_RANGES numbers.
+    The driver sees the range bounds and the first row of each range: three numbers a range.
     """
     ids = docs.select("doc_id")
-    n = ids.count()
-    ranges = min(MAX_RANGES, math.ceil(n / RANGE_ROWS))
-    bounds = []
+    ranges, bounds = n_ranges(ids.count()), []
     if ranges > 1:
-        shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+        shares = F.expr(f"cast(split('{','.join(str(i / ranges) for i in range(1, ranges))}', ',') as array<double>)")
         bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * ranges))).alias("b")).first()["b"] or []))
-    keyed = docs.withColumn("_range", F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(-1)))
+    keyed = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), bounds)).cast("int")).withColumn("_key", F.xxhash64("text"))
     # the first document of each range, the greatest by id, then the least by text, follows the last one of the range above
     order = [F.col("doc_id").desc_nulls_last(), F.col("_key").asc()]
-    keyed = keyed.withColumn("_key", F.xxhash64("text"))
-    heads = keyed.groupBy("_range").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))).alias("m")).select("_range", F.col("m.i").alias("_i"))
-    keys = keyed.select("_range", "doc_id", "_key").join(heads, "_range").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_i"))
-    firsts = keys.groupBy("_range").agg(F.min("_key").alias("_k"), F.min("_i").alias("_i")).orderBy("_range").collect()  # one row a range
-    above = {r["_range"]: firsts[(j + 1) % len(firsts)]["_range"] for j, r in enumerate(firsts)}
+    first = F.min(F.struct((-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("less"), F.col("_key").alias("key"))).alias("f")
+    firsts = keyed.groupBy("_range").agg(first).orderBy("_range").select("_range", (-F.col("f.less")).cast("long").alias("i"), F.col("f.key").alias("k")).collect()
     given = F.lit(None).cast("int")
     if firsts:
-        at = F.create_map(*(F.lit(x) for r in firsts for x in (r["_range"], above[r["_range"]])))
-        key_of = F.create_map(*(F.lit(x) for r in firsts for x in (r["_range"], r["_k"])))
-        id_of = F.create_map(*(F.lit(x) for r in firsts for x in (r["_range"], r["_i"])))
-        is_first = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.element_at(id_of, F.col("_range"))) & (F.col("_key") == F.element_at(key_of, F.col("_range")))
-        given = F.when(is_first, F.element_at(at, F.col("_range")))
+        # by place: range -1, of rows without an id, stands at 0
+        above, id_of, key_of = ([0] * (firsts[-1]["_range"] + 2) for _ in range(3))
+        for j, r in enumerate(firsts):
+            at = r["_range"] + 1
+            above[at], id_of[at], key_of[at] = firsts[(j + 1) % len(firsts)]["_range"], r["i"], r["k"]
+        at = F.col("_range") + 1
+        is_first = (F.coalesce("doc_id", F.lit(0)) == F.get(longs(id_of), at)) & (F.col("_key") == F.get(longs(key_of), at))
+        given = F.when(is_first, F.get(longs(above), at).cast("int"))
     targets = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")), F.struct(given.alias("r"), F.lit(1).alias("copy")))
     dealt = keyed.withColumn("_to", F.explode(F.filter(targets, lambda x: x["r"].isNotNull())))
     dealt = dealt.select(*docs.columns, "_key", F.col("_to.r").alias("_r"), F.col("_to.copy").alias("_copy"))
