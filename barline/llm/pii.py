@@ -27,6 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
 from ._tables import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,8 +45,17 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
 }
-#: What a text must hold for the pattern to be tried.
-TRIGGER = {("email", 0): "@", ("email", 1): "dot", ("phone", 0): "+"}
+#: What every match of a pattern holds, so that texts without it need no search: a string, or a shorter pattern.
+IMPLIED = {
+    ("email", "base"): "@",
+    ("email", "loose"): "dot",
+    ("ip", "base"): r"[0-9]\.[0-9]",
+    ("ip", "loose"): r"[0-9]\[?\.\]?[0-9]",
+    ("card", "base"): r"[0-9](?:[\x20-]?[0-9]){15}",
+    ("card", "loose"): r"[0-9](?:[\x20-]?[0-9]){12}",
+    ("phone", "base"): "+",
+    ("phone", "loose"): r"[0-9]{3}[ .-][0-9]{4}",
+}
 # Gazetteers, as patterns on a span's own text.
 GAZETTEER_FOR = {
     "email": r"(?i)(?:\.|dot\W{1,2})(?:com|org|net|edu|gov|io|info|biz|co|de|fr|es|uk|eu|us|ch|at|it|nl)$",
@@ -77,8 +87,9 @@ N_VOTES, N_FORMS = 4, 4
 THRESHOLD = 0.5
 
 
-def matches(text: Column, pattern: str, trigger: Column) -> Column:
+def matches(text: Column, pattern: str, implied: str) -> Column:
     """array<struct<value, start, end>> of a pattern's matches, from the pieces between them."""
+    may = text.rlike(implied) if "[" in implied else F.contains(text, F.lit(implied))
     values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast("array<struct<value:string,start:int,end:int>>")
 
@@ -94,7 +105,7 @@ def matches(text: Column, pattern: str, trigger: Column) -> Column:
         return F.when(n == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), first, add)["out"])
 
     held = F.array(F.struct(values.alias("values"), between.alias("between")))
-    return F.when(trigger, F.get(F.transform(held, walk), F.lit(0))).otherwise(none)
+    return F.when(may, F.get(F.transform(held, walk), F.lit(0))).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -124,8 +135,7 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    trigger = F.contains(text, F.lit(TRIGGER[kind, 0])) if (kind, 0) in TRIGGER else text.rlike("[0-9]")
-    return F.filter(matches(text, BASE[kind], trigger), lambda m: passes(kind, m["value"]))
+    return F.filter(matches(text, BASE[kind], IMPLIED[kind, "base"]), lambda m: passes(kind, m["value"]))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -134,8 +144,7 @@ def _vote(yes: Column, no: Column) -> Column:
 
 def candidates(text: Column, kind: str, base: Column) -> Column:
     """array<struct<kind, start, end, base, votes, form>>: the base spans, then the looser matches apart from them."""
-    trigger = F.contains(text, F.lit(TRIGGER[kind, 1])) if (kind, 1) in TRIGGER else text.rlike("[0-9]{3}")
-    loose = F.filter(matches(text, LOOSE[kind], trigger), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    loose = F.filter(matches(text, LOOSE[kind], IMPLIED[kind, "loose"]), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
     def judged(strict: bool):
         def judge(m: Column) -> Column:
@@ -246,9 +255,11 @@ def spans(found: DataFrame, model: dict[int, list[float]], name: str = "spans")
     return found.withColumn(name, F.array_sort(kept)).drop("_candidates")
 
 
-def personal_data(docs: DataFrame, name: str = "spans") -> DataFrame:
-    """docs (text and any other columns) with a column of spans. Reads docs twice: to train, and to mark."""
-    return spans(find(docs), train(find(docs.select("text"))), name)
+def personal_data(docs: DataFrame, name: str = "spans", without: tuple[str, ...] = ()) -> DataFrame:
+    """docs (text and any other columns, but for those named) with a column of spans. Texts are searched once: what was
+    found is kept as a table, to train on and to mark by."""
+    found = kept(find(docs).drop(*without), "candidates")
+    return spans(found, train(found), name)
 
 
 def listed(found: Column) -> Column:
@@ -272,7 +283,7 @@ def masked(text: Column, found: Column) -> Column:
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = personal_data(docs)
+    found = personal_data(docs, without=("text",))
     base = F.filter("spans", lambda s: s["base"])
     n = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return found.select("doc_id", *n, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
