@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fold(modulus: int, key: str = "doc_id") -> Column:
-    """crc32 of the id as text, by a modulus."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+    """crc32 of the id as text, by a modulus; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def hash_share(key: str = "doc_id") -> Column:
@@ -33,4 +33,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     """
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", label)
     drawn, counts = sample_by_class(known, label, rows_per_class)
-    return docs.join(F.broadcast(drawn.limit(4 * rows_per_class)), "doc_id"), counts
+    bounded = drawn.orderBy(hash_share(), "doc_id", label).limit(4 * rows_per_class)
+    return docs.join(F.broadcast(bounded), "doc_id"), counts

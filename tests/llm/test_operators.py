@@ -13,7 +13,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barline.llm import fingerprint, langid, media, mixing, packing, pii, quality, simhash, token_counts, toxicity
@@ -46,7 +48,7 @@ def test_every_query_answers_for_every_row(spark, tables, name, kind):
     assert ids == sorted({r[0] for r in TEXTS[kind]})
     if name != "op5_packing":
         assert got.count() == len(TEXTS[kind])
-    assert not set(got.columns) & (set(CLASHING) - {"score", "size", "target", "taken", "length", "piece", "spans"})
+    assert not set(got.columns) & (set(CLASHING) - {"score", "size", "target", "taken", "position", "length", "piece", "spans"})
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -183,23 +185,50 @@ def test_mixing_targets_and_takings(spark, tables, kind):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
 
 
+def test_positions_invert_the_demand(spark, tables):
+    """Each document's position is the time at which its source's schedule has asked for the middle of its stretch."""
+    count, sizes = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), {}
+    for _, text, _, s, _ in TEXTS["plain"]:
+        sizes[s] = sizes.get(s, 0) + count(text)
+    got = {r["doc_id"]: r for r in mixing.op3_mixing(spark, tables["plain"]).collect()}
+    for k, s in enumerate(sorted(sizes)):
+        begins, low, high = 0, (0.5, 1.5)[k % 2], (1.5, 0.5)[k % 2]
+        for i, text, _, _, _ in sorted((r for r in TEXTS["plain"] if r[3] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            n, target = count(text), got[i]["target"]
+            words = n if target >= sizes[s] else max(0, min(n, round(target) - begins))
+            if words:
+                x = got[i]["position"]
+                assert low * x + (high - low) * x * x / 2 == pytest.approx((begins + words / 2) / target, abs=1e-6)
+            else:
+                assert got[i]["position"] is None
+            begins += n
+    assert len({(r["source_size"], round(r["target"])) for r in got.values()}) > 1
+
+
 def test_buckets_do_not_change_the_mix(spark, monkeypatch):
     docs = frame(spark, plain(200))
-    a = sorted((r["doc_id"], r["taken"], r["stream_start"]) for r in mixing.mix(spark, docs).collect())
+    rows = lambda: sorted((r["doc_id"], r["stream_start"], [tuple(p) for p in r["placings"]]) for r in mixing.mix(spark, docs).collect())
+    a = rows()
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
-    assert a == sorted((r["doc_id"], r["taken"], r["stream_start"]) for r in mixing.mix(spark, docs).collect())
+    assert a == rows()
 
 
 def test_curriculum_follows_the_schedule(spark):
-    from pyspark.sql import functions as F
-
-    knots = lambda s: F.when(s == "hot", F.array(*[F.struct(F.lit(a).alias("at"), F.lit(h).alias("height")) for a, h in ((0.0, 0.0), (1.0, 2.0))])).otherwise(mixing.flat_schedule(s))
-    placed = mixing.curriculum(mixing.mix(spark, frame(spark, plain(300))), knots, 4).collect()
+    rising = lambda rank: F.when(rank == 1, mixing._knots(F.lit(0.0), F.lit(2.0))).otherwise(mixing.flat_schedule(rank))
+    placed = mixing.curriculum(mixing.mix(spark, frame(spark, plain(300)), rising), 4).collect()
     assert all(0 <= r["position"] <= 1 for r in placed)
     got = {s: np.average([r["position"] for r in placed if (r["source"] == "hot") == s], weights=[r["words"] for r in placed if (r["source"] == "hot") == s]) for s in (True, False)}
     assert got[True] == pytest.approx(2 / 3, abs=0.05) and got[False] == pytest.approx(0.5, abs=0.05)
 
 
+def test_many_sources_are_ranked_in_parts(spark):
+    rows = [(i, "a b c", None, None if i == 5 else f"host{i:03d}", 1) for i in range(100)]
+    got = {r["doc_id"]: r["target"] for r in mixing.mix(spark, frame(spark, rows)).collect()}
+    order = sorted(range(100), key=lambda i: (i == 5, i))
+    want = filled({i: 3 for i in order}, {i: 1 + k % 3 for k, i in enumerate(order)})
+    assert got == pytest.approx(want)
+
+
 # op4 -------------------------------------------------------------------------------------------------------------
 def slow_fingerprint(text, k):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
@@ -527,8 +556,6 @@ def test_sketches_estimate_and_merge(spark):
     words = [f"w{i}" for i in range(1200)]
     a, b = " ".join(words[:900]), " ".join(words[300:])
     df = fingerprint.fingerprints(spark.createDataFrame([("x", a, b)], "k string, text string, other string"), 1, 256)
-    from pyspark.sql import functions as F
-
     other = fingerprint.sketch(fingerprint.shingle_hashes(F.col("other"), 1), 256)
     r = df.select(fingerprint.resemblance(F.col("sketch"), other, 256).alias("r"), fingerprint.containment(F.col("sketch"), other, 256).alias("c"), fingerprint.distinct_shingles(F.col("sketch"), 256).alias("n")).first()
     assert r["r"] == pytest.approx(0.5, abs=0.12) and r["c"] == pytest.approx(2 / 3, abs=0.15) and r["n"] == pytest.approx(900, rel=0.25)
@@ -558,8 +585,6 @@ def private_texts() -> list[str]:
 def test_base_spans_equal_plain_patterns(spark):
     texts = private_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     rows = pii.personal_data(df).select("doc_id", pii.listed(F.filter("spans", lambda s: s["base"])).alias("base"), pii.listed(F.col("spans")).alias("all"), pii.masked(F.col("text"), F.col("spans")).alias("masked")).collect()
     for r in rows:
         want = slow_base(texts[r["doc_id"]])
@@ -584,3 +609,33 @@ def test_labelers_are_told_apart():
     w = pii.fit_classifier([(v, 0, c, likely[v]) for v, c in histogram.items()])
     z = lambda v: sum(a * b for a, b in zip(w, pii.span_features(v, 0), strict=True))
     assert z((0, 1, 1, 1)) > 0 > z((-1, -1, 0, -1))
+
+
+def test_unrelated_text_changes_no_span(spark):
+    texts = ["host 10[.]0[.]0[.]1 now", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2", "call 555 123 4567", "write jo at mail dot org now", "ip 10.0.0.1, card 4111 1111 1111 1111"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " , room 123") for i, t in enumerate(texts)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "transform(_candidates, c -> struct(c.kind, c.start, c.end, c.base, c.votes)) AS c").collect()
+    by_id = {r["doc_id"]: r["c"] for r in found}
+    for i in range(len(texts)):
+        assert by_id[i] and by_id[i] == by_id[100 + i]
+
+
+def slow_candidates(text: str) -> list[tuple]:
+    """Base spans, then looser matches apart from them, by kind, from the plain patterns."""
+    out = []
+    for kind in pii.KINDS:
+        base = [(int(a), int(b)) for k, a, b in (s.split(":") for s in slow_base(text)) if k == kind]
+        pattern = regex.compile(pii.LOOSE[kind])
+        loose = [m.span() for m in pattern.finditer(text)]
+        out += [(kind, a, b, True) for a, b in base] + [(kind, a, b, False) for a, b in loose if not any(c < b and a < d for c, d in base)]
+    return out
+
+
+def test_candidates_equal_the_plain_patterns(spark):
+    rng = random.Random(12)
+    bits = ["10[.]0[.]0[.]1", "192.168.1.20", "1.2.3", "4111 1111 1111 1111", "4111 1111 1111 1112", "12345678901234", "555 123 4567", "(212) 555-0199", "+1 (243) 555-5512", "jo at mail dot org", "x(at)y(dot)com", "a.b@c.de", "word", "3.14", "\n", ",", "é"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice([" ", " ", "", ", "]) for _ in range(rng.randint(1, 12)))) for i in range(300)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(pii.KINDS[c["kind"]], c["start"], c["end"], c["base"]) for c in r["_candidates"]] for r in found.collect()}
+    for i, text in rows:
+        assert sorted(got[i]) == sorted(slow_candidates(text)), text
