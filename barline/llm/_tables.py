@@ -8,7 +8,7 @@ from pyspark.sql.types import MapType
 
 from ..sources.kept import drop, shared_folder, written
 
-__all__ = ["ROW", "drop", "join_split", "shared_folder", "table", "with_row", "written"]
+__all__ = ["ROW", "drop", "has_copies", "join_split", "shared_folder", "table", "with_row", "written"]
 
 #: The two columns that name a row by all that it holds.
 ROW = ("_row_a", "_row_b")
@@ -29,6 +29,11 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW[0], F.xxhash64(*columns, nulls)).withColumn(ROW[1], F.xxhash64(F.lit(1), nulls, *columns))
 
 
+def has_copies(keyed: DataFrame) -> bool:
+    """Whether a table with ROW has rows that are alike in every column."""
+    return not keyed.groupBy(*ROW).count().where("count > 1").isEmpty()
+
+
 def join_split(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
     """left joined with right by key, where a third of left's rows may share one. right has a row for each key at most,
     salt is a column of left that tells rows of a key apart.

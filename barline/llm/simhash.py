@@ -18,15 +18,16 @@ Components come from alternating large and small stars, each round kept in the s
 
 Two bits are far less than a fifth of the shingles: copies that resemble each other to 0.8 differ in 5 to 14 bits, a
 radius for which masks that cover every pair would run to thousands. Where a similarity is asked for, documents are
-therefore linked in a second way as well: BANDS keys of three minima each out of a one-permutation min-hash of the same
-shingles bring documents together. In a bucket of at most SMALL all are held against each other, in a larger one each
-against four, the ends of two orders; bottom-K sketches decide, or, near the line, the shingles themselves. What a large
-bucket then still has in several components is held against the member of most links, and what is left after that goes
-through an exact join: two sets that resemble each other that much share one of their rarest shingles,
-so many as they may miss and one more. Only pairs of different components, and of sizes and places that allow the
-similarity, are compared, in blocks, by their whole sets. So no pair of a bucket goes untested, whatever the bucket's size. What may
-still be lost: a pair of similarity 0.8 shares no key with a chance of about one in 100,000, a sketch may err by more
-than UNSURE in a small bucket, and one document speaks for all of its fingerprint.
+therefore linked in a second way as well, by their sets of shingles; documents of one set are one node from the start.
+BANDS keys of three minima each out of a one-permutation min-hash bring sets together in buckets, and buckets of the
+same members count once. In a bucket of at most SMALL all are held against each other, in a larger one each against
+four, the ends of two orders; bottom-K sketches decide, or, near the line, the shingles themselves. What a large bucket
+then still has in several components is held against the member of most links, and what is left after that goes through
+an exact join: two sets that resemble each other that much share one of their rarest shingles, so many as they may miss
+and one more. Only pairs of different components, and of sizes and places that allow the similarity, are compared, in
+blocks, by their whole sets. So no pair of a bucket goes untested, whatever the bucket's size. What may still be lost: a
+pair of similarity 0.8 shares no key with a chance of about one in 100,000, and a sketch may err by more than UNSURE,
+four and a half deviations, with one of about one in 100,000 as well. Sets are told apart by 64 bits of hash.
 
 Defined cases: a null text or one without a word has fingerprint 0, linked like any other; one with fewer words than a
 shingle has the whole sequence as its one shingle; a bit set in exactly half the hashes is 0; repeated rows, of equal
@@ -41,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import shared_folder, table, written
+from ..sources.kept import kept
+from ._tables import ROW, join_split, shared_folder, table, with_row, written
 from ._words import slices
 from .fingerprint import resemblance
 
@@ -52,8 +54,8 @@ SEED = 42
 BLOCK = 1 << 15
 #: For links by similarity: hashes in a sketch, keys, and minima in a key.
 SKETCH, BANDS, BAND_ROWS = 128, 16, 3
-#: How far a sketch's estimate may be off: three deviations.
-UNSURE = 0.12
+#: How far a sketch's estimate may be off: four and a half deviations.
+UNSURE = 0.16
 #: Members of a bucket that are all held against each other; rounds of hubs in larger ones; rows of a block of a join.
 SMALL, HUB_ROUNDS, JOIN_ROWS = 16, 1, 512
 
@@ -85,11 +87,15 @@ def fingerprint(blocks) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def sketch_and_bands(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The SKETCH smallest distinct hashes, as signed numbers, and BANDS keys; none of either without shingles."""
-    if not blocks:
+def distinct(blocks: list[np.ndarray]) -> np.ndarray:
+    """The distinct hashes of the blocks, sorted."""
+    return np.unique(np.concatenate([np.unique(b) for b in blocks])) if blocks else np.zeros(0, "<u8")
+
+
+def sketch_and_bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SKETCH smallest of distinct hashes, as signed numbers, and BANDS keys; none of either without any."""
+    if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = np.unique(np.concatenate([np.unique(b) for b in blocks]))
     bins = BANDS * BAND_ROWS
     least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, (hashes % np.uint64(bins)).astype(np.int64), hashes)
@@ -103,23 +109,27 @@ def sketch_and_bands(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(hashes.view(np.int64))[:SKETCH], key.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, sketched: bool = False) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long; if asked for, sketch and bands."""
+def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, sketched: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry (longs) and fp: the fingerprint's 64 bits as a signed long. If asked for, also what
+    follows from the set of shingles alone: set_id, its hash, sketch and bands."""
+    from xxhash import xxh64_intdigest
 
     def compute(batches):
         for batch in batches:
             for part in slices(batch):
                 blocks = [list(shingle_hashes(t or "", words_each)) for t in part.column("text").to_pylist()]
                 found = np.array([fingerprint(b) for b in blocks], np.uint64)
-                columns, names = [part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                columns, names = [part.column(c) for c in ("doc_id", *carry)] + [pa.array(found.view(np.int64))], ["doc_id", *carry, "fp"]
                 if sketched:
-                    more = [sketch_and_bands(b) for b in blocks]
+                    sets = [distinct(b) for b in blocks]
+                    more = [sketch_and_bands(s) for s in sets]
+                    columns.append(pa.array(np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)))
                     columns += [pa.array([m[i] for m in more], pa.list_(pa.int64())) for i in (0, 1)]
-                    names += ["sketch", "bands"]
+                    names += ["set_id", "sketch", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, fp long" + ", sketch array<long>, bands array<long>" * sketched
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(compute, schema)
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")) + ", set_id long, sketch array<long>, bands array<long>" * sketched
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text").mapInArrow(compute, schema)
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -168,89 +178,106 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = written(_small_star(_large_star(edges)), folder, f"stars{step}")
 
 
-def shingle_sets(docs: DataFrame, prints: DataFrame, fps: DataFrame, words_each: int) -> DataFrame:
-    """fp and s, the distinct shingles of the fingerprint's document, for each of fps."""
-    spoken = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """node and s, the distinct shingles of a set, for each node of wanted; docs has ROW."""
+    spoken = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*ROW)).alias("r")).select("node", *(f"r.{c}" for c in ROW))
 
     def compute(batches):
         for batch in batches:
             for part in slices(batch):
-                sets = [np.unique(np.concatenate(b)).view(np.int64) if (b := list(shingle_hashes(t or "", words_each))) else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+                sets = [distinct(list(shingle_hashes(t or "", words_each))).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(spoken, "doc_id").select("fp", "text")
-    return texts.mapInArrow(compute, "fp long, s array<long>").groupBy("fp").agg(F.first("s").alias("s"))
+    texts = docs.select(*ROW, "text").join(spoken, list(ROW)).select("node", "text")
+    return texts.mapInArrow(compute, "node long, s array<long>").dropDuplicates(["node"])  # true copies of the row
+
+
+def beside(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """pairs (u, v) with a and b, what `of` (node and column) has for either. A hub may stand in a third of the pairs."""
+    a, b = (of.select(F.col("node").alias(x), F.col(column).alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    return join_split(join_split(pairs, a, "u", "v"), b, "v", "u")
 
 
 def exact_resemblance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (u, v) with r, the share of the distinct shingles of either fingerprint's document that both have."""
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    """pairs (u, v) with r, the share of the distinct shingles of either set that both have."""
     common = F.size(F.array_intersect("a", "b"))
-    return both.select("u", "v", (common / F.greatest(F.lit(1), F.size("a") + F.size("b") - common)).alias("r"))
+    return beside(pairs, sets, "s").select("u", "v", (common / F.greatest(F.lit(1), F.size("a") + F.size("b") - common)).alias("r"))
 
 
 def unsettled(members: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """members (t, key, fp) of buckets that the links leave in several components, with root, their component."""
-    roots = components(links, folder).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = written(members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), folder, "rooted")
-    several = rooted.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t", "key")
-    return written(rooted.join(several, ["t", "key"], "left_semi"), folder, "unsettled")
+    """members (bucket, node) of buckets that the links leave in several components, with root, their component."""
+    roots = components(links, folder).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, "rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    return written(rooted.join(several, "bucket", "left_semi"), folder, "unsettled")
 
 
 def hub_pairs(members: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each bucket of members (t, key, fp, root) the one of most links that isn't among used (t, key, fp), and it
+    """Of each bucket of members (bucket, node, root) the one of most links that isn't among used (bucket, node), and it
     against the members of other components."""
-    degrees = links.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct(F.col("fp").alias("hub"), F.col("root").alias("hub_root")), F.struct("n", F.xxhash64("fp")))
-    hubs = members.join(used, ["t", "key", "fp"], "left_anti").join(degrees, "fp").groupBy("t", "key").agg(best.alias("h")).select("t", "key", "h.*")
-    met = members.join(hubs, ["t", "key"]).where("root <> hub_root")
-    return hubs.select("t", "key", F.col("hub").alias("fp")), met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
+    degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), F.struct("n", F.xxhash64("node"), "node"))
+    hubs = members.join(used, ["bucket", "node"], "left_anti").join(degrees, "node").groupBy("bucket").agg(best.alias("h")).select("bucket", "h.*")
+    met = join_split(members, hubs, "bucket", "node").where("root <> hub_root")
+    return hubs.select("bucket", F.col("hub").alias("node")), met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
 
 def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs u > v of sets (fp, root, s) of different roots, among them all that resemble each other that much. Of
+    """Pairs u > v of sets (node, root, s) of different roots, among them all that resemble each other that much. Of
     each set the rarest shingles count, so many that sets without a common one among them are too far apart; the first
     common one of a pair tells how many may follow."""
-    spread = sets.select("fp", F.explode("s").alias("token"))
+    spread = sets.select("node", F.explode("s").alias("token"))
     counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle of one set only has no pair; these come first and need only be counted
-    ordered = spread.join(counts, "token").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
-    sized = sets.select("fp", "root", F.size("s").alias("n"))
-    placed = ordered.join(sized, "fp").select("fp", "root", "n", F.posexplode("o").alias("at", "x"), (F.col("n") - F.size("o")).alias("alone"))
-    first = placed.select("fp", "root", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
+    ordered = spread.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
+    sized = sets.select("node", "root", F.size("s").alias("n"))
+    placed = ordered.join(sized, "node").select("node", "root", "n", F.posexplode("o").alias("at", "x"), (F.col("n") - F.size("o")).alias("alone"))
+    first = placed.select("node", "root", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
     shared = first.groupBy("token").agg(F.ceil(F.count("*") / JOIN_ROWS).cast("long").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "blocks")
     rows = first.join(shared, "token")
-    a = rows.select("token", F.pmod(F.xxhash64("fp"), "blocks").alias("block"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("at").alias("au"))
-    b = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    a = rows.select("token", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("at").alias("au"))
+    b = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("at").alias("av"))
     may = F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av")) >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
     alike = (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & may
     return a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.block") == F.col("b.block")) & alike).select("u", "v").distinct()
 
 
+def buckets_of(keyed: DataFrame) -> DataFrame:
+    """Buckets of keyed (node, bucket) with several members: how many, and the ends of two orders of them. Of buckets
+    that have the same members one stands for all."""
+    order = F.xxhash64("node")
+    ends = (F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", order).alias("first"), F.max_by("node", order).alias("last"))
+    mark = F.sum(F.xxhash64(F.lit(2), F.col("node")).cast("decimal(38,0)")).alias("mark")
+    found = keyed.groupBy("bucket").agg(F.count("*").alias("n"), *ends, mark).where("lo < hi")
+    return found.groupBy("n", "lo", "hi", "first", "last", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
+
+
 def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: int, folder: str) -> DataFrame:
-    """Edges u > v between fingerprints of documents whose shingles resemble each other that much, enough of them for
-    the components. Sketches decide where they are sure; near the line the shingles themselves do."""
-    each = written(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), folder, "sketches")
-    a, b = each.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), each.select(F.col("fp").alias("v"), F.col("sketch").alias("b"))
+    """Edges u > v between nodes, sets of shingles that resemble each other that much, enough of them for the
+    components. docs has ROW, prints ROW, node, sketch and bands. Sketches decide where they are sure; near the line
+    the shingles themselves do."""
+    # sketch and bands follow from the set, so any row of a node has the same
+    each = written(prints.select("node", "sketch", "bands").dropDuplicates(["node"]), folder, "sketches")
 
     def alike(pairs: DataFrame, step: str) -> DataFrame:
-        guessed = pairs.join(a, "u").join(b, "v").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
+        pairs = written(pairs, folder, f"met{step}")
+        guessed = beside(pairs, each, "sketch").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
         guessed = written(guessed.where(F.col("r") >= similarity - UNSURE), folder, f"pairs{step}")
         near = guessed.where(F.col("r") < similarity + UNSURE).select("u", "v")
-        close = exact_resemblance(near, shingle_sets(docs, prints, near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), words_each))
+        close = exact_resemblance(near, shingle_sets(docs, prints, near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), words_each))
         return written(guessed.where(F.col("r") >= similarity + UNSURE).unionByName(close.where(F.col("r") >= similarity)).select("u", "v"), folder, f"links{step}")
 
-    keyed = each.select("fp", F.posexplode("bands").alias("t", "key"))
-    order = F.xxhash64("fp")
-    ends = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", order).alias("first"), F.max_by("fp", order).alias("last")).where("lo < hi")
-    inside = written(keyed.join(ends, ["t", "key"]), folder, "inside")
-    few = inside.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select(F.explode("fps").alias("fp"), "fps").select("fp", F.explode("fps").alias("other"))
+    keyed = each.select("node", F.posexplode("bands").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
+    inside = written(join_split(keyed, written(buckets_of(keyed), folder, "buckets"), "bucket", "node"), folder, "inside")
+    few = inside.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("node").alias("all")).select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("other"))
     large = inside.where(F.col("n") > SMALL)
-    met = large.select("fp", F.explode(F.array_distinct(F.array("lo", "hi", "first", "last"))).alias("other"))
-    links = alike(few.unionByName(met).where("fp <> other").select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct(), "")
+    ends = F.array_distinct(F.array("lo", "hi", "first", "last"))
+    met = large.select("node", F.explode(ends).alias("other"))
+    # each pair of a small bucket once
+    links = alike(few.where("node > other").unionByName(met.where("node <> other")).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "")
 
-    used = written(ends.where(F.col("n") > SMALL).select("t", "key", F.explode(F.array_distinct(F.array("lo", "hi", "first", "last"))).alias("fp")), folder, "used")
-    members = unsettled(large.select("t", "key", "fp"), links, f"{folder}/large")
+    used = written(large.groupBy("bucket", "lo", "hi", "first", "last").count().select("bucket", F.explode(ends).alias("node")), folder, "used")
+    members = unsettled(large.select("bucket", "node"), links, f"{folder}/large")
     for k in range(HUB_ROUNDS):
         if members.isEmpty():
             return links
@@ -260,32 +287,58 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
             break
         links, used = links.unionByName(more), used.unionByName(written(hubs, folder, f"hubs{k}"))
         members = unsettled(members.drop("root"), links, f"{folder}/large{k}")
-    left = members.select("fp", "root").distinct()
-    sets = written(shingle_sets(docs, prints, left.select("fp"), words_each).join(left, "fp"), folder, "sets")
+    left = members.select("node", "root").distinct()
+    sets = written(shingle_sets(docs, prints, left.select("node"), words_each).join(left, "node"), folder, "sets")
     pairs = written(sharing_pairs(sets, similarity), folder, "sharing")
-    return links.unionByName(exact_resemblance(pairs, sets.select("fp", "s")).where(F.col("r") >= similarity).select("u", "v"))
-
-
-def link(spark, prints: DataFrame, folder: str, more: DataFrame | None = None) -> DataFrame:
-    """prints (a written table with doc_id and fp) with component_id, the smallest doc_id that links lead to. more:
-    further edges between fingerprints."""
-    edges = ties(prints.select("fp").distinct())
-    if more is not None:
-        edges = edges.unionByName(more).distinct()
-    prints = prints.select("doc_id", "fp")
-    roots = components(edges, folder).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    by_root = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return links.unionByName(exact_resemblance(pairs, sets.select("node", "s")).where(F.col("r") >= similarity).select("u", "v"))
+
+
+def link(prints: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """prints (a written table with doc_id and node) with root, one node of each component of the edges (u > v), and
+    component_id, its smallest doc_id."""
+    roots = components(edges, folder).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    by_root = written(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, "roots")
     ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(by_root.join(ids, "root").select("fp", "component_id"), "fp")
+    named = join_split(by_root.select("node", "root"), ids, "root", "node")
+    return join_split(prints, written(named, folder, "named"), "node", "doc_id")
+
+
+def near_fingerprints(docs: DataFrame, folder: str, words_each: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, fp, component_id for each of docs. Links are fingerprints within RADIUS bits."""
+    prints = written(fingerprints(docs, words_each).withColumn("node", F.col("fp")), folder, "fingerprints")
+    return link(prints, ties(prints.select("fp").distinct()), folder).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(spark, docs: DataFrame, words_each: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id for each of docs. Links are fingerprints within RADIUS bits and, if a similarity is
-    given, documents whose shingles resemble each other that much."""
+def near_duplicates(spark, docs: DataFrame, words_each: int = SHINGLE_WORDS, similarity: float = 0.8) -> DataFrame:
+    """ROW, doc_id, fp, root, component_id for each of docs (with ROW). Links are fingerprints within RADIUS bits, and
+    documents whose shingles resemble each other that much. Nodes are sets of shingles, so texts that share a
+    fingerprint but not their shingles keep links of their own."""
     folder = shared_folder(spark)
-    prints = written(fingerprints(docs, words_each, similarity is not None), folder, "fingerprints")
-    return link(spark, prints, folder, None if similarity is None else similar(docs, prints, similarity, words_each, folder))
+    prints = written(fingerprints(docs, words_each, True, ROW).withColumnRenamed("set_id", "node"), folder, "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("node").alias("least"))
+    pairs = ties(prints.select("fp").distinct())
+    tied = pairs.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    same = prints.select("fp", "node").distinct().join(least, "fp")
+    edges = tied.select("a", "b").unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    more = similar(docs, prints, similarity, words_each, folder)
+    return link(prints.select(*ROW, "doc_id", "fp", "node"), edges.unionByName(more).distinct(), folder).select(*ROW, "doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(spark, docs: DataFrame, words_each: int = SHINGLE_WORDS, similarity: float = 0.8) -> DataFrame:
+    """docs, one row of each group of near copies: that of the smallest id, of several such rows the one of the least
+    hash. A row without an id stands behind all others of its group; rows of equal ids but other texts are documents of
+    their own. Of rows that are alike in every column one is left."""
+    keyed = with_row(docs)
+    found = near_duplicates(spark, keyed, words_each, similarity)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)).alias("best")
+    chosen = kept(found.groupBy("root").agg(best).select(*(f"best.{c}" for c in ROW)), "chosen")
+    out = keyed.join(chosen, list(ROW), "left_semi")
+    copies = found.groupBy(*ROW).count().where("count > 1")
+    if not copies.join(chosen, list(ROW), "left_semi").isEmpty():
+        out = out.dropDuplicates(list(ROW))
+    return out.select(docs.columns)
 
 
 def hex64(fp: Column) -> Column:
@@ -293,7 +346,7 @@ def hex64(fp: Column) -> Column:
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark, table(spark, sf_dir, "documents"), words_each=3)
+    found = near_fingerprints(table(spark, sf_dir, "documents"), shared_folder(spark), words_each=3)
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 

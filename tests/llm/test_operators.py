@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import random
 import re
 import tarfile
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barline.llm import fingerprint, langid, media, mixing, packing, pii, quality, simhash, token_counts, toxicity
-from barline.llm._tables import shared_folder
+from barline.llm._tables import shared_folder, with_row
 from barline.llm.queries import QUERIES
 
 from .data import CLASHING, crc, edges, frame, plain, saved
@@ -273,10 +274,37 @@ def test_links_within_two_bits_none_missed(spark):
             for _ in range(rng.randint(0, 3)):
                 f ^= 1 << rng.randrange(64)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in prints], "doc_id long, fp long")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.link(spark, df, shared_folder(spark)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.link(df.withColumn("node", F.col("fp")), simhash.ties(df.select("fp").distinct()), shared_folder(spark)).collect()}
     assert [got[i] for i, _ in prints] == slow_components(prints)
 
 
+def keyed(spark, rows):
+    return with_row(frame(spark, rows))
+
+
+def test_no_text_of_an_id_is_lost(spark):
+    texts = ["the first text of one id and its own words", "another text altogether that has the same id", "a text of no id at all but some words", "the first text of one id and its own words", None, "a text of no id at all but some words"]
+    ids = [1, 1, None, 1, None, 2]
+    left = simhash.one_of_each(spark, frame(spark, [(i, t, "en", "a", 1) for i, t in zip(ids, texts, strict=True)])).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in left) == [(False, 1, texts[1]), (False, 1, texts[0]), (False, 2, texts[2]), (True, None, "")]
+
+
+def test_links_of_a_corpus_equal_brute_force(spark):
+    """Every pair of the smallest corpus: what brute force links at 0.8 is linked, and little besides."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables here")
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    texts = [re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "") for r in rows]
+    want = linked_by_brute_force(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, keyed(spark, [(r["doc_id"], r["text"], None, None, None) for r in rows])).collect()}
+    linked = [i for i, w in enumerate(want) if w != i]
+    assert len(linked) > 20
+    assert sum(got[rows[i]["doc_id"]] == got[rows[want[i]]["doc_id"]] for i in linked) >= 0.99 * len(linked)
+    by_print = slow_components([(r["doc_id"], slow_fingerprint(t, 5)) for r, t in zip(rows, texts, strict=True)])
+    apart = {rows[i]["doc_id"] for i in range(len(rows)) if want[i] == i and by_print[i] == rows[i]["doc_id"]}
+    assert apart == {r["doc_id"] for r in rows if got[r["doc_id"]] == r["doc_id"]}
+
+
 def test_similar_texts_link_and_others_do_not(spark):
     rng, rows, groups = random.Random(9), [], []
     for g in range(25):
@@ -287,7 +315,7 @@ def test_similar_texts_link_and_others_do_not(spark):
                 copy[rng.randrange(len(copy))] = "edit"
             rows.append((len(rows), " ".join(copy), None, None, None))
             groups.append(g)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, frame(spark, rows), similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, keyed(spark, rows), similarity=0.8).collect()}
     sets = [{tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)} for r in rows]
     for i in range(len(rows)):
         for j in range(i):
@@ -299,7 +327,7 @@ def test_similar_texts_link_and_others_do_not(spark):
 
 def linked_by_brute_force(texts: list[str], similarity: float = 0.8) -> list[int]:
     """The least row of each row's component, of links by the shared share of five-word shingles."""
-    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in texts]
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4) if w else 0)} for t in texts]
     root = list(range(len(texts)))
 
     def least(i):
@@ -331,7 +359,7 @@ def test_stars_of_copies_are_linked_whole(spark):
     rng = random.Random(12)
     texts = star(rng, 1200) + star(rng, 40)
     want = linked_by_brute_force(texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, keyed(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), similarity=0.8).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
@@ -345,7 +373,7 @@ def test_what_hubs_leave_open_is_joined_exactly(spark, monkeypatch):
         words[rng.randrange(200)] = "other"
         texts.append(" ".join(words))
     want = linked_by_brute_force(texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, keyed(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), similarity=0.8).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
