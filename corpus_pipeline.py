@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import mixing, packing, pii, simhash, toxicity
-from barline.llm._tables import shared_folder, table, written
+from barline.llm._tables import ROW, drop, has_copies, shared_folder, table, with_row, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies (five-word shingles, a similarity of 0.8 or more), the document of the
-    smallest id. Rows of equal ids are one document; a row without an id is none."""
-    found = simhash.near_duplicates(spark, docs, similarity=0.8)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one document of each group of near copies (five-word shingles, a similarity of 0.8 or more): the one of
+    the smallest id, rows without an id last. Rows of equal ids but other texts are documents of their own; of rows
+    that are alike in every column one stays."""
+    return simhash.one_of_each(spark, docs, similarity=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +37,17 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in training order. Texts stay whole: the one document of a
-    source at which its target ends is taken if the target asks for half of it or more."""
-    order = mixing.curriculum(mixing.mix(spark, docs))
-    order = order.where((F.col("size") > 0) & (2 * F.col("words") >= F.col("size"))).select("doc_id", F.col("position").alias("_mix_position"), F.col("pass").alias("_mix_pass"))
-    texts = docs.dropDuplicates(["doc_id"])
-    keys = ("_mix_position", "doc_id", "_mix_pass")
-    return texts.join(order, "doc_id").repartitionByRange(*keys).sortWithinPartitions(*keys).select(docs.columns)
+    """A row for each time that the mix takes a document, in training order. Texts stay whole, also that of the one
+    document of a source at which its target ends. Texts without a word cost nothing and stay, at the beginning. Rows
+    are told apart by all that they hold, so equal or missing ids lose none."""
+    keyed = with_row(docs)
+    mixed = mixing.mix(spark, keyed.select("doc_id", "source", "text", *ROW), carry=ROW)
+    free = F.array(F.struct(F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("position")))
+    order = mixed.withColumn("placings", F.when(F.col("size") == 0, free).otherwise(F.col("placings")))
+    order = order.select(*ROW, F.explode("placings").alias("p")).select(*ROW, F.col("p.position").alias("_position"), F.col("p.pass").alias("_pass"))
+    keys = ("_position", *ROW, "_pass")
+    out = keyed.dropDuplicates(list(ROW)) if has_copies(keyed) else keyed
+    return out.join(order, list(ROW)).repartitionByRange(*keys).sortWithinPartitions(*keys).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each result written to the shared folder and read again as the next one's docs."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder, last = table(spark, sf_dir, "documents"), shared_folder(spark), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        if last:
+            drop(spark, f"{folder}/{last}")
+        last = name
     return docs
