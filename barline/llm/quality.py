@@ -1,77 +1,117 @@
 """Quality by supervised subword embeddings.
 
-A document is the average of learned vectors: one for each word, one for each of its character n-grams, one for each
-pair of neighbouring words, hashed to BUCKETS rows, with marks for how a word is written and for a word that repeats
-the one before. A softmax over the average gives the classes' probabilities. Vectors and output weights are trained
-together by stochastic gradient descent in numpy, on a bounded sample of labelled rows: at most about ROWS_PER_CLASS of
-each label. Classes are sampled unevenly, so the fit weighs rows back to the labels' own shares.
+A document is the average of learned vectors, hashed to BUCKETS rows: one for each word, one for how it is written, one
+for each of its character n-grams between marks of start and end, one for each pair of neighbouring words, and one for
+a word that repeats the one before. A softmax over the average gives the classes' probabilities. Vectors and output
+weights are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows: at most
+about ROWS_PER_CLASS of each label, of texts of any length. Classes are sampled unevenly, so the fit weighs rows back
+to the labels' own shares.
 
 The output is linear in the average. For scoring, each vector is folded with the output weights into one number a
-class, and a word's numbers are summed once and remembered, so a text costs one lookup a word.
+class. Texts are taken in batches: a batch's different words are hashed once, all their n-grams in a few array
+operations, and a text's score is a sum over the numbers of its words and pairs.
 
 Defined cases: a null or empty text has no features and scores the output's bias; without labels, or with one label
 only, the score is that label's share (0.5 without any); repeated rows are scored each; an empty table gives an empty
-result; a null id stays null;
-other columns are ignored; texts of any length are scored whole.
+result; a null id stays null; other columns are ignored; texts and words of any length are taken whole.
 """
 
 from __future__ import annotations
 
-import math
-from operator import eq
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._models import fold, labelled_sample
 from ._tables import table
-from ._words import Remembered, slices
+from ._words import Split, gather, slices
 
 ROWS_PER_CLASS = 1500
-#: Longer documents aren't in the sample.
-MAX_TRAIN_CHARS = 40_000
 BUCKETS, DIM = 1 << 16, 8
 NGRAMS = (3, 4)
 EPOCHS, RATE = 4, 0.6
 #: Weight of the feature of a repeated word against that of an n-gram.
 REPEAT_WEIGHT = 8
-#: What a longer word is cut to for its n-grams: so many characters at either end.
-LONG_WORD = 40
-
-
-def shape(word: str) -> str:
-    return ("U" if word.isupper() else "T" if word[:1].isupper() else "l" if word.islower() else "-") + ("" if word.isalpha() else "d" if any(map(str.isdigit, word)) else "p")
-
-
-def word_features(word: str) -> list[int]:
-    """Buckets of a word: itself, its shape and its character n-grams between marks of start and end."""
-    if len(word) > 2 * LONG_WORD:
-        grams = f"<{word[:LONG_WORD]} {word[-LONG_WORD:]}>"
-    else:
-        grams = f"<{word}>"
-    names = [f"w {word}", f"s {shape(word)}", *(grams[i : i + n] for n in NGRAMS for i in range(len(grams) - n + 1))]
-    return [crc32(x.encode()) % BUCKETS for x in names]
-
-
-REPEAT = crc32(b"r repeat") % BUCKETS
-
-
-class Features:
-    """Buckets of a document with their numbers."""
-
-    def __init__(self):
-        self.words = Remembered(word_features, 100_000)
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        found: list[int] = []
-        for w in words:
-            found += self.words[w]
-        found += [REPEAT] * (REPEAT_WEIGHT * sum(map(eq, words, words[1:])))
-        return np.unique(np.array(found, np.int64), return_counts=True)
+#: Bytes of text scored in one go.
+BATCH_BYTES = 4 << 20
+#: An odd multiplier that spreads hashes over 64 bits, and what sets kinds of features apart.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+WORD, SHAPE, GRAM, PAIR, REPEAT = (np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64)) for i in range(1, 6))
+
+
+def bucket(hashes: np.ndarray, kind: np.uint64) -> np.ndarray:
+    mixed = (hashes ^ kind) * MIX
+    return ((mixed ^ (mixed >> np.uint64(29))) * MIX >> np.uint64(48)).astype(np.int64) % BUCKETS
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """How words are written: all capitals, a capital first, small or neither; letters only, with digits or other."""
+    is_ = lambda x: x.to_numpy(zero_copy_only=False)
+    case = np.select([is_(pc.utf8_is_upper(words)), is_(pc.utf8_is_upper(pc.utf8_slice_codeunits(words, 0, 1))), is_(pc.utf8_is_lower(words))], [0, 1, 2], 3)
+    return (4 * case + np.select([is_(pc.utf8_is_alpha(words)), is_(pc.match_substring_regex(words, "[0-9]"))], [0, 1], 2)).astype(np.uint64)
+
+
+class WordFeatures:
+    """Buckets of different words: ids[edges[i] : edges[i + 1]] are those of word i; hashes, a number for each word."""
+
+    def __init__(self, words: pa.Array):
+        n = len(words)
+        marked = "".join(f"<{w}>" for w in words.to_pylist())
+        points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        lengths = (pc.utf8_length(words).to_numpy(zero_copy_only=False) if n else np.zeros(0)).astype(np.int64) + 2
+        ends = np.cumsum(lengths)
+        self.hashes = np.zeros(n, np.uint64)
+        grams, owners = [], []
+        if n:
+            place = np.arange(len(points), dtype=np.int64) - np.repeat(ends - lengths, lengths)
+            # a word's hash: its points, each mixed with its place, summed
+            mixed = (points + place.astype(np.uint64) * np.uint64(0x100000001B3)) * MIX
+            self.hashes = np.add.reduceat((mixed ^ (mixed >> np.uint64(32))) * MIX, ends - lengths)
+            left, owner = np.repeat(lengths, lengths) - place, np.repeat(np.arange(n), lengths)
+            for size in NGRAMS:
+                at = np.flatnonzero(left >= size)
+                h = np.full(len(at), size, np.uint64)
+                for j in range(size):
+                    h = (h ^ points[at + j]) * MIX
+                    h ^= h >> np.uint64(31)
+                grams.append(bucket(h, GRAM))
+                owners.append(owner[at])
+        each = np.arange(n)
+        ids = np.concatenate([bucket(self.hashes, WORD), bucket(shapes(words), SHAPE) if n else each, *grams])
+        owners = np.concatenate([each, each, *owners])
+        order = np.argsort(owners, kind="stable")
+        self.ids, self.edges = ids[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int64)
+
+
+def pair_buckets(split: Split, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the texts' words: the bucket of the word there with the one before it in its text, and whether
+    it repeats that; -1 at a text's first word."""
+    at = hashes[split.codes]
+    found, again = np.full(len(at), -1, np.int64), np.zeros(len(at), bool)
+    if len(at) > 1:
+        found[1:], again[1:] = bucket(at[:-1] * np.uint64(3) + at[1:], PAIR), split.codes[1:] == split.codes[:-1]
+        firsts = split.edges[:-1][split.counts > 0]
+        found[firsts], again[firsts] = -1, False
+    return found, again
+
+
+REPEAT_BUCKET = int(bucket(np.zeros(1, np.uint64), REPEAT)[0])
+
+
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each text with their numbers."""
+    split = Split(texts)
+    words = WordFeatures(split.words)
+    pairs, again = pair_buckets(split, words.hashes)
+    out = []
+    for a, b in zip(split.edges[:-1].tolist(), split.edges[1:].tolist(), strict=True):
+        codes = split.codes[a:b]
+        own = words.ids[gather(words.edges[codes], words.edges[codes + 1] - words.edges[codes])] if b > a else words.ids[:0]
+        repeats = np.full(REPEAT_WEIGHT * int(again[a:b].sum()), REPEAT_BUCKET, np.int64)
+        out.append(np.unique(np.concatenate([own, pairs[a:b][pairs[a:b] >= 0], repeats]), return_counts=True))
+    return out
 
 
 def train_numpy(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,8 +119,7 @@ def train_numpy(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    features = Features()
-    docs = [features(t) for t in texts]
+    docs = [f for at in range(0, len(texts), 64) for f in features(pa.array(texts[at : at + 64], pa.string()))]
     total = EPOCHS * len(docs)
     for epoch in range(EPOCHS):
         for k, i in enumerate(rng.permutation(len(docs))):
@@ -104,26 +143,25 @@ class Scorer:
     """The folded model: a number for each bucket, and the bias."""
 
     def __init__(self, folded: np.ndarray, bias: float):
-        self.folded, self.bias = folded, bias
-        self.words = Remembered(self._word, 400_000)
-        self.repeat = float(folded[REPEAT]) if len(folded) else 0.0
-
-    def _word(self, word: str) -> tuple[float, int]:
-        ids = word_features(word)
-        return float(self.folded[ids].sum()), len(ids)
-
-    def __call__(self, text: str) -> float:
-        z = self.bias
-        if len(self.folded) and (words := text.split()):
-            found = list(map(self.words.__getitem__, words))
-            repeats = REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
-            z += (sum(x for x, _ in found) + repeats * self.repeat) / (sum(n for _, n in found) + repeats)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        self.folded, self.bias = folded.astype(np.float64), bias
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        z = np.full(len(texts), self.bias)
+        if len(self.folded) and len(texts):
+            split = Split(texts)
+            words = WordFeatures(split.words)
+            pairs, again = pair_buckets(split, words.hashes)
+            of_word = np.add.reduceat(self.folded[words.ids], words.edges[:-1]) if len(split.words) else np.zeros(0)
+            n_of_word = np.diff(words.edges)
+            of_place = of_word[split.codes] + np.where(pairs >= 0, self.folded[pairs], 0.0) + again * (REPEAT_WEIGHT * self.folded[REPEAT_BUCKET])
+            n_of_place = n_of_word[split.codes] + (pairs >= 0) + REPEAT_WEIGHT * again
+            z = z + split.sums(of_place) / np.maximum(1, split.sums(n_of_place))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """docs (doc_id, text) and labels (doc_id, quality) of the rows to learn from. Gives the folded vectors and the bias."""
-    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS)).select("doc_id", "text")
+    usable = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     sample, counts = labelled_sample(usable, labels, "quality", ROWS_PER_CLASS)
     if len(counts) < 2:
         return np.zeros(0, np.float32), 0.0 if not counts else 30.0 if 1 in counts else -30.0
@@ -149,9 +187,8 @@ def score(spark, docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def compute(batches):
         scorer = Scorer(*sent.value)
         for batch in batches:
-            for part in slices(batch):
-                scores = [scorer(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            for part in slices(batch, 4096, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer(part.column("text")), pa.float64())], ["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(compute, "doc_id long, score double")
 
