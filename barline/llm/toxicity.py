@@ -11,9 +11,12 @@ fewer must match exactly, longer ones may miss by one edit, the longest by two;
 Digits and signs that stand for letters are read as these first.
 
 Each hit is looked at in a window of WINDOW words: within quotation marks, or after a verb of saying, it counts as
-quotation, else as abuse. A logistic model over the hits by kind (term, misspelling, stem; abuse, quotation), drawn
+quotation, else as abuse. A misspelling of a term that clean documents hardly have is one kind of hit, one of any other
+term a second. A logistic model over the hits by kind (term, the two misspellings, stem; abuse, quotation), drawn
 towards stated prior weights, gives the score. Lexicon and weights are learned from a bounded sample of labelled rows,
-about SAMPLE_ROWS of each label; scoring covers every word of every text.
+about SAMPLE_ROWS of each label; every term that passes the test is kept; scoring covers every word of every text.
+
+Words are white-space runs of the lower-cased text. A batch's different words are looked up once.
 
 Defined cases: a null or empty text has no hits and scores the model's base rate; without labels the stated lexicon
 and prior weights hold; a document with several labels is learned from under each; repeated rows are scored each; an
@@ -24,15 +27,17 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._models import fold, labelled_sample
 from ._tables import shared_folder, table, written
-from ._words import Remembered, slices
+from ._words import Remembered, Split, slices
 
 # Insults that hold without any label.
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "asshole", "bitch")
@@ -40,17 +45,19 @@ INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "wo
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 # Verbs of saying, before a quoted word.
 SAYING = frozenset("said says say called calls call wrote writes word words term quote quoted quotes insult insults slur dit mot sagte wort dijo palabra".split())
-MAX_TERMS = 1500
 STEM_MIN, STEM_MAX = 4, 8
 WINDOW = 6
 SAMPLE_ROWS = 6000
 #: A term stands in so many distinct toxic contexts at least, and in so many times the share of them as of others.
 MIN_CONTEXTS, MIN_LIFT = 4, 8.0
-#: Misspellings are sought of terms that stand in this many other contexts for each toxic one at most.
+#: Terms that stand in this many other contexts for each toxic one at most are sure.
 MAX_OTHERS = 0.02
-KINDS = ("term", "near", "stem")
-#: Prior weights: base, then abuse and quotation of each kind, then hits per hundred words.
-PRIOR = np.array([-4.0, 4.5, 1.0, 3.5, 0.8, 3.0, 0.8, 0.5])
+#: near: a misspelling of a sure term; faint: of another one.
+KINDS = ("term", "near", "stem", "faint")
+#: Prior weights: base, then abuse and quotation of each kind, then the share of hits among words, on a log scale.
+PRIOR = np.array([-4.0, 4.5, 1.0, 3.5, 0.8, 3.0, 0.8, 0.5, 0.2, 0.5])
+#: Bytes of text scored in one go.
+BATCH_BYTES = 4 << 20
 LETTERS = r"[^\p{L}\p{N}@$!']+"
 QUOTES = "\"“”„«»‘’"
 
@@ -153,14 +160,34 @@ EDGES = "\"“”„«»‘’'.,;:?()[]{}<>|*%&#=+-_~^/\\`…"
 
 
 class Lexicon:
-    """terms and stems, and what a raw word comes to: -1 nothing, else an index of KINDS."""
+    """terms and stems, and what a raw word comes to: -1 nothing, else an index of KINDS. sure: those terms whose
+    misspellings count as near; those of all others are faint."""
 
-    def __init__(self, terms=(), stems=(), misspelt=()):
-        self.terms, self.stems, misspelt = frozenset(terms) | set(INSULTS), frozenset(stems), frozenset(misspelt) | set(INSULTS)
-        self.trie, self.parts = Trie(misspelt), Parts(misspelt)
+    def __init__(self, terms=(), stems=(), sure=()):
+        self.terms, self.stems, sure = frozenset(terms) | set(INSULTS), frozenset(stems), frozenset(sure) | set(INSULTS)
+        self.tries = [(k, Trie(some), Parts(some)) for k, some in ((1, sure), (3, self.terms - sure)) if some]
         self.stem_sizes = sorted(set(map(len, self.stems)))
-        self.longest = max(map(len, misspelt), default=0) + 2
-        self.kind = Remembered(self._kind, 500_000)
+        self.longest = max(map(len, self.terms), default=0) + 2
+        self.kind = Remembered(self._kind)
+        some = [parts for _, _, parts in self.tries]
+        either = lambda names: "(?:" + "|".join(map(re.escape, sorted(names))) + ")"
+        edge = f"[{re.escape(EDGES)}!]*"
+        begins = self.stems | {t for t in self.terms if not edits_allowed(len(t))} | set().union(*(p.starts for p in some))
+        others = []
+        if ends := set().union(*(p.ends for p in some)):
+            others.append(f"{either(ends)}{edge}$")
+        if middles := set().union(*(m for p in some for m in p.middles.values())):
+            others.append(either(middles))
+        #: What every word holds that comes to anything: a quick test in one pass.
+        self.possible = "|".join([f"^{edge}{either(begins)}", "[0-9@$!]", *others])
+
+    def kinds(self, words: pa.Array) -> np.ndarray:
+        """What each of the words comes to."""
+        found = np.full(len(words), -1, np.int8)
+        may = np.flatnonzero(pc.match_substring_regex(words, self.possible).to_numpy(zero_copy_only=False))
+        if len(may):
+            found[may] = np.fromiter(map(self.kind.__getitem__, words.take(pa.array(may)).to_pylist()), np.int8, len(may))
+        return found
 
     def _kind(self, raw: str) -> int:
         word = raw.lstrip(EDGES).rstrip(EDGES + "!")
@@ -177,7 +204,11 @@ class Lexicon:
             return -1
         if plain in self.terms:
             return 1
-        return 1 if n > 4 and self.parts.may(plain) and nearest(plain, self.trie, 2 if n > 6 else 1) is not None else -1
+        if n > 4:
+            for k, trie, parts in self.tries:
+                if parts.may(plain) and nearest(plain, trie, 2 if n > 6 else 1) is not None:
+                    return k
+        return -1
 
 
 def windows(words: list[str], hits: list[int]) -> list[bool]:
@@ -195,22 +226,28 @@ def windows(words: list[str], hits: list[int]) -> list[bool]:
     return out
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    words = text.lower().split()
-    kinds = list(map(lexicon.kind.__getitem__, words))
-    row = [1.0, *[0.0] * 7]
-    hits = [i for i, k in enumerate(kinds) if k >= 0] if max(kinds, default=-1) >= 0 else []
-    if hits:
-        for i, quoted in zip(hits, windows(words, hits), strict=True):
-            row[1 + 2 * kinds[i] + quoted] += 1
-        row[7] = min(10.0, 100 * sum(row[1:7:2]) / len(words))
-        row[1:7] = [math.log2(1 + x) for x in row[1:7]]
-    return row
+def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """A row for each text: 1, log counts of abuse and quotation of each kind, and the log share of abuse among words."""
+    split = Split(texts, lower=True)
+    found = np.zeros((len(split), len(PRIOR)))
+    kinds = lexicon.kinds(split.words)[split.codes]
+    hits = np.flatnonzero(kinds >= 0)
+    if len(hits):
+        owners = np.searchsorted(split.edges, hits, side="right") - 1
+        begins, ends = np.maximum(split.edges[owners], hits - WINDOW), np.minimum(split.edges[owners + 1], hits + 1 + WINDOW)
+        for hit, owner, a, b in zip(hits.tolist(), owners.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            around = split.words.take(pa.array(split.codes[a:b])).to_pylist()
+            found[owner, 1 + 2 * kinds[hit] + windows(around, [hit - a])[0]] += 1
+        abuse = found[:, 1:-1:2].sum(axis=1)
+        found[:, -1] = np.log2(1 + 100 * abuse / np.maximum(1, split.counts))
+        found[:, 1:-1] = np.log2(1 + found[:, 1:-1])
+    found[:, 0] = 1
+    return found
 
 
 def learn_lexicon(sample: DataFrame, folder: str) -> tuple[list[str], list[str], list[str]]:
-    """Terms, stems and the terms whose misspellings count, of labelled rows (text, toxic). At most MAX_TERMS of each
-    come to the driver."""
+    """Terms, stems and sure terms of labelled rows (text, toxic): all that pass the test, which are fewer than the words
+    of the sample."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), LETTERS), lambda w: F.length(w) >= STEM_MIN))
     docs = sample.select("toxic", words.alias("words")).where(F.size("words") > 0)
     # copies of a document share, mostly, the least hash of their words: one of them speaks for all
@@ -232,16 +269,22 @@ def learn_lexicon(sample: DataFrame, folder: str) -> tuple[list[str], list[str],
     found = {}
     for kind, counts, needed in (("word", by_word, least), ("stem", by_stem, least + least // 2)):
         rows = counts.where((F.col("yes") >= needed) & (lift >= MIN_LIFT)).withColumn("gain", gain)
-        found[kind] = rows.orderBy(F.col("gain").desc(), "unit").limit(MAX_TERMS).collect()
+        found[kind] = rows.orderBy(F.col("gain").desc(), "unit").collect()
     words = {r["unit"]: r["yes"] for r in found["word"]}
-    stems: list[str] = []
+    said_by: dict[str, int] = {}  # by beginning, the contexts of its most frequent word
+    for w, n in words.items():
+        for k in range(STEM_MIN, min(STEM_MAX, len(w)) + 1):
+            said_by[w[:k]] = max(said_by.get(w[:k], 0), n)
+    stems, beginnings_of_stems = set(), set()
     for r in found["stem"]:  # of stems that begin alike the one that tells most; one that is but a part of a word says no more than it
         s = r["unit"]
-        if not any(s.startswith(t) or t.startswith(s) for t in stems) and not any(w.startswith(s) and m >= 0.8 * r["yes"] for w, m in words.items()):
-            stems.append(s)
-    terms = [w for w in words if not any(w.startswith(s) for s in stems)]
+        begins = {s[:k] for k in range(STEM_MIN, len(s) + 1)}
+        if not begins & stems and s not in beginnings_of_stems and said_by.get(s, 0) < 0.8 * r["yes"]:
+            stems.add(s)
+            beginnings_of_stems |= begins
+    terms = [w for w in words if not any(w[:k] in stems for k in range(STEM_MIN, STEM_MAX + 1))]
     sure = {r["unit"] for r in found["word"] if r["no"] <= MAX_OTHERS * r["yes"]}
-    return terms, stems, [w for w in terms if w in sure]
+    return terms, sorted(stems), [w for w in terms if w in sure]
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2.0) -> np.ndarray:
@@ -268,8 +311,8 @@ class Scorer:
     def __init__(self, lexicon: tuple[list[str], ...], weights: np.ndarray):
         self.lexicon, self.weights = Lexicon(*lexicon), weights
 
-    def __call__(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(features(text, self.lexicon), self.weights))))))
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features(texts, self.lexicon) @ self.weights, -30, 30)))
 
 
 def train(spark, docs: DataFrame, labels: DataFrame) -> tuple[tuple[list[str], ...], np.ndarray]:
@@ -284,8 +327,8 @@ def train(spark, docs: DataFrame, labels: DataFrame) -> tuple[tuple[list[str], .
     def compute(batches):
         lexicon = Lexicon(*sent.value)
         for batch in batches:
-            for part in slices(batch):
-                rows = [features(t, lexicon) for t in part.column("text").to_pylist()]
+            for part in slices(batch, 4096, BATCH_BYTES):
+                rows = list(features(part.column("text"), lexicon))
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
     got = sample.select("text", "toxic").mapInArrow(compute, "toxic double, x array<double>").groupBy("toxic", "x").count().collect()
@@ -306,9 +349,8 @@ def score(spark, docs: DataFrame, model, name: str = "toxicity") -> DataFrame:
     def compute(batches):
         scorer = Scorer(*sent.value)
         for batch in batches:
-            for part in slices(batch):
-                scores = [scorer(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, name])
+            for part in slices(batch, 4096, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scorer(part.column("text")), pa.float64())], [*kept, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema) + f", `{name}` double"
     return docs.select(kept).mapInArrow(compute, schema)
