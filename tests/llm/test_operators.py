@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import os
 import random
 import re
 import tarfile
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -71,6 +73,23 @@ def test_media_round_trip(spark, tables):
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == want[r["doc_id"]]
 
 
+def test_features_describe_the_payload(spark, tables):
+    got = {r["doc_id"]: r["feature"] for r in media.op1_media_columns(spark, tables["edges"]).collect()}
+    for i, text, *_ in TEXTS["edges"]:
+        data = (text or "").encode()
+        data += bytes(-len(data) % 64 or (64 if not data else 0))
+        p = [data.count(b) / len(data) for b in set(data)]
+        mean = sum(data) / len(data)
+        want = {"mean": mean, "std": (sum((b - mean) ** 2 for b in data) / len(data)) ** 0.5, "entropy": -sum(x * math.log2(x) for x in p), "bands": len({b // 16 for b in data})}
+        assert {k: float(v) for k, v in (x.split("=") for x in got[i].split(";"))} == pytest.approx(want, abs=1e-4)
+
+
+def test_equal_contents_have_one_address(spark, tmp_path):
+    rows = [(i, "the same payload" if i % 2 else f"payload {i}", None, None, None) for i in range(40)]
+    index = media.store(spark, frame(spark, rows).repartition(4), f"file://{tmp_path}/store").collect()
+    assert len({r["shard"] for r in index}) > 1 and len({(r["shard"], r["offset"]) for r in index}) == len({r["digest"] for r in index}) == 21
+
+
 def test_shards_are_tars_named_by_content(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     index = media.store(spark, frame(spark, plain()), folder)
@@ -88,51 +107,61 @@ def test_shards_are_tars_named_by_content(spark, tmp_path):
 
 
 # op2 -------------------------------------------------------------------------------------------------------------
-def slow_bits(trees_of: langid.ContextTrees, training: dict[str, list[str]], text: str, lang: str) -> float:
-    """The code length by counting contexts one byte at a time."""
-    order, classes, n = langid.ORDER, trees_of.classes, trees_of.n
-    width = np.bincount(classes, minlength=n).astype(float)
+def slow_bits(texts: list[str], text: str) -> float:
+    """The code length under a language by counting contexts one byte at a time."""
+    order = langid.ORDER
     counts = [dict() for _ in range(order + 1)]
-    kept = [set() for _ in range(order + 1)]
-    for name, texts in training.items():
-        for t in texts:
-            data = [int(classes[b]) for b in langid.PAD + langid.coded_bytes(t)]
-            for i in range(order, len(data)):
-                for k in range(order + 1):
-                    ctx = tuple(data[i - k : i])
-                    kept[k].add(ctx)
-                    if name == lang:
-                        d = counts[k].setdefault(ctx, {})
-                        d[data[i]] = d.get(data[i], 0) + 1
-
+    for t in texts:
+        data = langid.PAD + t.encode()
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                d = counts[k].setdefault(data[i - k : i], {})
+                d[data[i]] = d.get(data[i], 0) + 1
+
+    @lru_cache(maxsize=None)
     def probability(ctx, c, k):
         if k < 0:
-            return width[c] / 256
-        own = counts[k].get(ctx[len(ctx) - k :] if k else (), {})
+            return 1 / 256
+        ctx = ctx[len(ctx) - k :]
+        own = counts[k].get(ctx, {})
         if not own:
             return probability(ctx, c, k - 1)
         total, distinct = sum(own.values()), len(own)
-        rest = sum(probability(ctx, x, k - 1) for x in range(n) if x not in own)
-        escape = distinct if rest > 0 else 0
         if c in own:
-            return own[c] / (total + escape)
-        return escape / (total + escape) * probability(ctx, c, k - 1) / rest
+            return own[c] / (total + distinct)
+        rest = sum(probability(ctx, x, k - 1) for x in range(256) if x not in own)
+        return distinct / (total + distinct) * probability(ctx, c, k - 1) / rest
 
-    data = [int(classes[b]) for b in langid.PAD + langid.coded_bytes(text)]
-    bits = 0.0
-    for i in range(order, len(data)):
-        k = max(j for j in range(order + 1) if tuple(data[i - j : i]) in kept[j])
-        bits -= np.log2(probability(tuple(data[i - order : i]), data[i], k) / width[data[i]])
-    return bits
+    data = langid.PAD + text.encode()
+    return -sum(np.log2(probability(data[i - order : i], data[i], order)) for i in range(order, len(data)))
 
 
 def test_code_lengths_equal_counting():
-    training = {"a": ["abab abba", "ba ab"], "b": ["bcb ccb", "cb"]}
+    training = {"a": ["abab abba", "ba ab", "Ab, 12"], "b": ["bcb ccb", "cb"], "c": [""]}
     trees = langid.ContextTrees(training)
-    for text in ("ab ba", "ccb xyz", "é"):
+    for text in ("ab ba", "ccb xyz", "é 12!", "b"):
         got = trees.code_lengths([text])[0]
         for j, lang in enumerate(trees.langs):
-            assert got[j] == pytest.approx(slow_bits(trees, training, text, lang), rel=1e-4)
+            assert got[j] == pytest.approx(slow_bits(training[lang], text), rel=1e-4)
+
+
+def test_lookups_find_every_key():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 32, 20_000).astype(np.uint64))
+    found = langid.Lookup(keys)
+    assert (found(keys) == np.arange(len(keys))).all()
+    others = rng.integers(1 << 33, 1 << 34, 20_000).astype(np.uint64)
+    assert (found(others) == -1).all() and (langid.Lookup(keys[:0])(others) == -1).all()
+
+
+def test_a_language_of_very_long_texts_is_learned(spark):
+    rng = random.Random(5)
+    long = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, long("zwar und der schaft ächt über".split(), 12_000 if i % 2 else 30), "xx" if i % 2 else "yy") for i in range(8)]
+    docs = [(i, t if lang == "xx" else long("the of heath wharf oner that".split(), 30), lang) for i, t, lang in docs]
+    trees = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert min(len(t) for _, t, lang in docs if lang == "xx") > 40_000
+    assert [trees.langs[i] for i in trees.code_lengths(["der schaft zwar", "the wharf of that"]).argmin(1)] == ["xx", "yy"]
 
 
 def test_code_lengths_add_up_over_blocks(monkeypatch):
@@ -515,10 +544,54 @@ def test_automata_equal_edit_distance():
 
 def test_quotation_scores_below_abuse_and_misspelling_counts():
     scorer = toxicity.Scorer(((), (), ()), toxicity.PRIOR)
-    calm, abuse, spelt, quoted = (scorer(t) for t in ("a calm note on the weather", "you idiot and moron", "you idi0t and morron", 'he said "idiot" and "moron" were the words of the day'))
+    calm, abuse, spelt, quoted = scorer(pa.array(["a calm note on the weather", "you idiot and moron", "you idi0t and morron", 'he said "idiot" and "moron" were the words of the day']))
     assert calm < 0.1 and abuse > 0.9 and spelt > 0.8 and quoted < 0.5
 
 
+def slow_kind(raw: str, lexicon: toxicity.Lexicon, sure: set[str]) -> int:
+    word = raw.lstrip(toxicity.EDGES).rstrip(toxicity.EDGES + "!")
+    if not word:
+        return -1
+    if word in lexicon.terms:
+        return 0
+    if any(word.startswith(s) for s in lexicon.stems):
+        return 2
+    plain = word if word.isalpha() else word.translate(toxicity.LOOKALIKES)
+    if len(plain) < 4:
+        return -1
+    if plain in lexicon.terms:
+        return 1
+    for kind, terms in ((1, sure), (3, lexicon.terms - sure)):
+        if len(plain) > 4 and any(distance(plain, t) <= min(toxicity.edits_allowed(len(t)), 2 if len(plain) > 6 else 1) for t in terms):
+            return kind
+    return -1
+
+
+def test_features_equal_every_word_against_every_term():
+    rng, terms, stems = random.Random(8), ["snorkwad", "blivet", "grue", "wumpus"], ["zorch"]
+    lexicon = toxicity.Lexicon(terms, stems, terms[:2])
+    base = [*terms, *toxicity.INSULTS, "zorching", "weather", "said", "the", "calm", "ünder", "gr0e"]
+    texts = []
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(0, 15)):
+            letters = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                i = rng.randrange(len(letters) + 1)
+                letters[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "E", "1", "$"])
+            words.append(rng.choice(["", "", '"', "(", "«"]) + "".join(letters) + rng.choice(["", "", ",", '"', "!", "».", "?!"]))
+        texts.append(rng.choice([" ", "\n", "  "]).join(words))
+    got, sure = toxicity.features(pa.array([*texts, None]), lexicon), set(terms[:2]) | set(toxicity.INSULTS)
+    for text, row in zip([*texts, ""], got, strict=True):
+        words = text.lower().split()
+        kinds = [slow_kind(w, lexicon, sure) for w in words]
+        hits = [i for i, k in enumerate(kinds) if k >= 0]
+        want = [0.0] * 8
+        for i, quoted in zip(hits, toxicity.windows(words, hits), strict=True):
+            want[2 * kinds[i] + quoted] += 1
+        assert row.tolist() == pytest.approx([1.0, *(math.log2(1 + x) for x in want), math.log2(1 + 100 * sum(want[::2]) / max(1, len(words)))])
+
+
 def test_toxicity_learns_terms_but_not_from_its_held_out_fold(spark):
     rng = random.Random(4)
     docs, labels = [], []
@@ -532,24 +605,59 @@ def test_toxicity_learns_terms_but_not_from_its_held_out_fold(spark):
     (terms, _, _), weights = toxicity.train(spark, frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert "snorkwad" in terms
     scorer = toxicity.Scorer((terms, [], terms), weights)
-    assert scorer("beta snorkwad zeta") > 0.5 > scorer("beta gamma zeta")
+    toxic, clean = scorer(pa.array(["beta snorkwad zeta", "beta gamma zeta"]))
+    assert toxic > 0.5 > clean
     flipped = [(i, q, 1 - t if crc(i) % 5 == 0 else t) for i, q, t in labels]
     again = toxicity.train(spark, frame(spark, docs), spark.createDataFrame(flipped, "doc_id long, quality int, toxic int"))
     assert again[0][0] == terms and np.allclose(again[1], weights)
 
 
 # op8 -------------------------------------------------------------------------------------------------------------
+def slow_names(text: str) -> dict:
+    """What a document's features stand for, with their numbers, one word at a time."""
+    words, found = text.split(), {}
+
+    def add(name, n=1):
+        found[name] = found.get(name, 0) + n
+
+    for i, w in enumerate(words):
+        add(("word", w))
+        add(("shape", quality.shapes(pa.array([w]))[0]))
+        for size in quality.NGRAMS:
+            for at in range(len(w) + 2 - size + 1):
+                add(("gram", f"<{w}>"[at : at + size]))
+        if i:
+            add(("pair", words[i - 1], w))
+            if words[i - 1] == w:
+                add("repeat", quality.REPEAT_WEIGHT)
+    return found
+
+
+def test_features_equal_one_word_at_a_time():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "Good", "é😀x", "a", "BAD!!", "x1", "w" * 90 + "a" + "v" * 90, "w" * 90 + "b" + "v" * 90]) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    known: dict = {}
+    for text, (ids, n) in zip(texts, quality.features(pa.array(texts)), strict=True):
+        want = slow_names(text)
+        assert n.sum() == sum(want.values()) and sorted(n.tolist()) == sorted(want.values())  # no two names share a bucket here
+        for name in want:  # a name always stands in one bucket: the one that all its texts share
+            known[name] = known.get(name, set(ids.tolist())) & set(ids.tolist())
+    assert all(known.values())
+    a, b = ("one two three", "three two one")
+    (x, _), (y, _) = quality.features(pa.array([a, b]))
+    assert sorted(x) != sorted(y)  # word order tells, by the pairs
+
+
 def test_folded_score_equals_the_average_embedding():
     texts = [f"good clean sentence number {i}" if i % 2 else f"BAD!! BAD!! junk{i} ###" for i in range(60)]
     labels = np.array([i % 2 for i in range(60)])
     vectors, out, bias = quality.train_numpy(texts, labels, np.ones(60, np.float32))
     scorer = quality.Scorer(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
-    features = quality.Features()
-    for t in [*texts[:6], "never seen words", "twice twice twice"]:
-        ids, n = features(t)
-        z = (n / n.sum()) @ vectors[ids] @ out + bias
-        assert scorer(t) == pytest.approx(float(1 / (1 + np.exp(z[0] - z[1]))), abs=1e-5)
-    assert np.mean([(scorer(t) > 0.5) == y for t, y in zip(texts, labels, strict=True)]) == 1
+    some = [*texts[:6], "never seen words", "twice twice twice", "", "  end"]
+    for (ids, n), p in zip(quality.features(pa.array(some)), scorer(pa.array(some)), strict=True):
+        z = (n / max(1, n.sum())) @ vectors[ids] @ out + bias
+        assert p == pytest.approx(float(1 / (1 + np.exp(z[0] - z[1]))), abs=1e-5)
+    assert ((scorer(pa.array(texts)) > 0.5) == labels).all()
 
 
 def test_quality_ignores_held_out_labels(spark):
@@ -560,7 +668,8 @@ def test_quality_ignores_held_out_labels(spark):
     again, bias2 = kept([(i, 1 - q if crc(i) % 4 == 2 else q, t) for i, q, t in labels])
     assert np.array_equal(folded, again) and bias == bias2
     scorer = quality.Scorer(folded, bias)
-    assert scorer("clean words of text") > 0.7 > scorer("JUNK!! MORE!!")
+    good, bad = scorer(pa.array(["clean words of text", "JUNK!! MORE!!"]))
+    assert good > 0.7 > bad
 
 
 # op9 -------------------------------------------------------------------------------------------------------------
@@ -580,6 +689,45 @@ def test_fingerprints_of_edits_and_neighbours(spark, tables, kind, monkeypatch):
                 assert got[i]["near_edited"] == 1.0 and got[i]["fingerprint"] == got[i]["edited_fingerprint"]
 
 
+def slow_sketch(text: str) -> list[int]:
+    """The least distinct hashes of five-word shingles, signed."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    found = set()
+    for at in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[at : at + 5]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        found.add(signed(h))
+    return sorted(found)[:64]
+
+
+def slow_likeness(a: list[int], b: list[int]) -> float:
+    both = sorted(set(a) | set(b))[:64]
+    return 1.0 if not both else sum(x in a and x in b for x in both) / len(both)
+
+
+def test_fingerprints_equal_brute_force(spark, tables):
+    rows = sorted(TEXTS["plain"], key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in fingerprint.op9_fingerprints(spark, tables["plain"]).collect()}
+    as_text = lambda s: "".join(f"{x % (1 << 64):016x}" for x in s)
+    for k, (i, text, *_) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(text) // 2
+        edited = slow_sketch(text[: len(text) - half] + after[:half])
+        assert got[i]["fingerprint"] == as_text(slow_sketch(text)) and got[i]["edited_fingerprint"] == as_text(edited)
+        assert got[i]["near_edited"] == pytest.approx(slow_likeness(slow_sketch(text), edited))
+        assert got[i]["near_next"] == pytest.approx(slow_likeness(slow_sketch(text), slow_sketch(after)))
+
+
+def test_many_ranges_find_the_next_document(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 2)
+    monkeypatch.setattr(fingerprint, "MANY_RANGES", 1 << 14)
+    docs = spark.range(12_000).selectExpr("id * 7 AS doc_id", "cast(id AS string) AS text")
+    assert fingerprint.n_ranges(12_000) == 6000
+    wrong = fingerprint.with_next(docs).where("cast(next_text AS long) <> (cast(text AS long) + 11999) % 12000")
+    assert wrong.count() == 0
+
+
 def test_sketches_estimate_and_merge(spark):
     words = [f"w{i}" for i in range(1200)]
     a, b = " ".join(words[:900]), " ".join(words[300:])
