@@ -20,10 +20,10 @@ Two bits are far less than a fifth of the shingles: copies that resemble each ot
 radius for which masks that cover every pair would run to thousands. Where a similarity is asked for, documents are
 therefore linked in a second way as well, by their sets of shingles; documents of one set are one node from the start.
 BANDS keys of three minima each out of a one-permutation min-hash bring sets together in buckets, and buckets of the
-same members count once. In a bucket of at most SMALL all are held against each other, in a larger one each against
-four, the ends of two orders; bottom-K sketches decide, or, near the line, the shingles themselves. What a large bucket
-then still has in several components is held against the member of most links, and what is left after that goes through
-an exact join: two sets that resemble each other that much share one of their rarest shingles, so many as they may miss
+same members count once. Each member is held against the ends of an order of its bucket, or of two orders in a large
+one; bottom-K sketches decide, or, near the line, the shingles themselves. What a bucket then still has in several
+components goes on: in a bucket of at most SMALL each pair of different components is compared, in a larger one all are
+held against the member of most links, and what is left after that goes through an exact join: two sets that resemble each other that much share one of their rarest shingles, so many as they may miss
 and one more. Only pairs of different components, and of sizes and places that allow the similarity, are compared, in
 blocks, by their whole sets. So no pair of a bucket goes untested, whatever the bucket's size. What may still be lost: a
 pair of similarity 0.8 shares no key with a chance of about one in 100,000, and a sketch may err by more than UNSURE,
@@ -93,9 +93,10 @@ def distinct(blocks: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch_and_bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The SKETCH smallest of distinct hashes, as signed numbers, and BANDS keys; none of either without any."""
+    """The upper halves of the SKETCH smallest of distinct hashes, as signed numbers, and BANDS keys; none of either
+    without any."""
     if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     bins = BANDS * BAND_ROWS
     least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, (hashes % np.uint64(bins)).astype(np.int64), hashes)
@@ -106,7 +107,7 @@ def sketch_and_bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(BAND_ROWS):
         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ mixed[:, j]
-    return np.sort(hashes.view(np.int64))[:SKETCH], key.view(np.int64)
+    return np.unique((np.sort(hashes.view(np.int64))[:SKETCH] >> 32).astype(np.int32)), key.view(np.int64)
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, sketched: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -124,11 +125,11 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, sketched: boo
                     sets = [distinct(b) for b in blocks]
                     more = [sketch_and_bands(s) for s in sets]
                     columns.append(pa.array(np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)))
-                    columns += [pa.array([m[i] for m in more], pa.list_(pa.int64())) for i in (0, 1)]
+                    columns += [pa.array([m[i] for m in more], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))]
                     names += ["set_id", "sketch", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")) + ", set_id long, sketch array<long>, bands array<long>" * sketched
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")) + ", set_id long, sketch array<int>, bands array<long>" * sketched
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text").mapInArrow(compute, schema)
 
 
@@ -205,7 +206,7 @@ def exact_resemblance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """members (bucket, node) of buckets that the links leave in several components, with root, their component."""
+    """members (bucket, node and any others) of buckets that the links leave in several components, with root, their component."""
     roots = components(links, folder).select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), folder, "rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
@@ -219,7 +220,7 @@ def hub_pairs(members: DataFrame, links: DataFrame, used: DataFrame) -> tuple[Da
     best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), F.struct("n", F.xxhash64("node"), "node"))
     hubs = members.join(used, ["bucket", "node"], "left_anti").join(degrees, "node").groupBy("bucket").agg(best.alias("h")).select("bucket", "h.*")
     met = join_split(members, hubs, "bucket", "node").where("root <> hub_root")
-    return hubs.select("bucket", F.col("hub").alias("node")), met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    return hubs.select("bucket", F.col("hub").alias("node")), met.select("node", F.col("hub").alias("other"))
 
 
 def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
@@ -257,36 +258,37 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
     components. docs has ROW, prints ROW, node, sketch and bands. Sketches decide where they are sure; near the line
     the shingles themselves do."""
     # sketch and bands follow from the set, so any row of a node has the same
-    each = written(prints.select("node", "sketch", "bands").dropDuplicates(["node"]), folder, "sketches")
+    keyed = prints.select("node", "bands").dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
+    keyed = written(keyed, folder, "keyed")
+    inside = written(join_split(keyed, written(buckets_of(keyed), folder, "buckets"), "bucket", "node"), folder, "inside")
+    # only sets that share a bucket are looked at from here on
+    each = written(prints.select("node", "sketch").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), folder, "sketches")
 
     def alike(pairs: DataFrame, step: str) -> DataFrame:
-        pairs = written(pairs, folder, f"met{step}")
+        pairs = written(pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), folder, f"met{step}")
         guessed = beside(pairs, each, "sketch").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
         guessed = written(guessed.where(F.col("r") >= similarity - UNSURE), folder, f"pairs{step}")
         near = guessed.where(F.col("r") < similarity + UNSURE).select("u", "v")
         close = exact_resemblance(near, shingle_sets(docs, prints, near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), words_each))
         return written(guessed.where(F.col("r") >= similarity + UNSURE).unionByName(close.where(F.col("r") >= similarity)).select("u", "v"), folder, f"links{step}")
 
-    keyed = each.select("node", F.posexplode("bands").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
-    inside = written(join_split(keyed, written(buckets_of(keyed), folder, "buckets"), "bucket", "node"), folder, "inside")
-    few = inside.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("node").alias("all")).select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("other"))
-    large = inside.where(F.col("n") > SMALL)
-    ends = F.array_distinct(F.array("lo", "hi", "first", "last"))
-    met = large.select("node", F.explode(ends).alias("other"))
-    # each pair of a small bucket once
-    links = alike(few.where("node > other").unionByName(met.where("node <> other")).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "")
-
-    used = written(large.groupBy("bucket", "lo", "hi", "first", "last").count().select("bucket", F.explode(ends).alias("node")), folder, "used")
-    members = unsettled(large.select("bucket", "node"), links, f"{folder}/large")
+    is_large = F.col("n") > SMALL
+    ends = F.array_distinct(F.when(is_large, F.array("lo", "hi", "first", "last")).otherwise(F.array("lo", "hi")))
+    links = alike(inside.select("node", F.explode(ends).alias("other")).where("node <> other"), "")
+    used = written(inside.where(is_large).select("bucket", F.explode(F.array("lo", "hi", "first", "last")).alias("node")).distinct(), folder, "used")
+    members = unsettled(inside.select("bucket", "node", "n"), links, f"{folder}/open")
+    few = members.where(~is_large).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all")).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    pairs = few.where("a.node > b.node AND a.root <> b.root").select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+    members = members.where(is_large).drop("n")
     for k in range(HUB_ROUNDS):
-        if members.isEmpty():
-            return links
-        hubs, pairs = hub_pairs(members, links, used)
-        more = alike(pairs, f"-hubs{k}")
-        if more.isEmpty():
-            break
-        links, used = links.unionByName(more), used.unionByName(written(hubs, folder, f"hubs{k}"))
-        members = unsettled(members.drop("root"), links, f"{folder}/large{k}")
+        hubs, met = hub_pairs(members, links, used)
+        more = alike(pairs.unionByName(met), f"-hubs{k}")
+        links, used, pairs = links.unionByName(more), used.unionByName(written(hubs, folder, f"hubs{k}")), pairs.limit(0)
+        members = unsettled(members.drop("root"), links, f"{folder}/open{k}")
+    if not HUB_ROUNDS:
+        links = links.unionByName(alike(pairs, "-small"))
+    if members.isEmpty():
+        return links
     left = members.select("node", "root").distinct()
     sets = written(shingle_sets(docs, prints, left.select("node"), words_each).join(left, "node"), folder, "sets")
     pairs = written(sharing_pairs(sets, similarity), folder, "sharing")
