@@ -53,9 +53,11 @@ SEED = 42
 #: Shingles hashed in one go.
 BLOCK = 1 << 15
 #: For links by similarity: hashes in a sketch, keys, and minima in a key.
-SKETCH, BANDS, BAND_ROWS = 128, 16, 3
+SKETCH, BANDS, BAND_ROWS = 256, 16, 3
 #: How far a sketch's estimate may be off: four and a half deviations.
-UNSURE = 0.16
+UNSURE = 0.1125
+#: Rows of three numbers that are sent to all executors, 24 MB at most; more are joined by a shuffle.
+SENT_ROWS = 1 << 20
 #: Members of a bucket that are all held against each other; rounds of hubs in larger ones; rows of a block of a join.
 SMALL, HUB_ROUNDS, JOIN_ROWS = 16, 1, 512
 
@@ -189,7 +191,9 @@ def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words_ea
                 sets = [distinct(list(shingle_hashes(t or "", words_each))).view(np.int64) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    texts = docs.select(*ROW, "text").join(spoken, list(ROW)).select("node", "text")
+    spoken = kept(spoken, "spoken")
+    few = spoken.count() <= SENT_ROWS  # then the texts lie still
+    texts = docs.select(*ROW, "text").join(F.broadcast(spoken) if few else spoken, list(ROW)).select("node", "text")
     return texts.mapInArrow(compute, "node long, s array<long>").dropDuplicates(["node"])  # true copies of the row
 
 
