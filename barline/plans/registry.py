@@ -96,7 +96,7 @@ for _name, _of in {
     _some = rules.rules(*_of)
     register(_name, lambda spark, sf_dir, some=_some: signals.detect(bars.walk(spark, sf_dir), some), signals.detect_sql([_BARS], "bars", _some), "strength")
 
-register("all_signals", lambda spark, sf_dir: signals.detect(bars.walk(spark, sf_dir), rules.rules()))
+register("all_signals", lambda spark, sf_dir: signals.detect(bars.walk(spark, sf_dir), rules.rules()), signals.detect_sql([_BARS], "bars", rules.rules()), "strength")
 register(
     "gap_interaction",
     lambda spark, sf_dir: interaction.gap_interaction(bars.walk(spark, sf_dir)),
