@@ -181,6 +181,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = written(_small_star(_large_star(edges)), folder, f"stars{step}")
 
 
+def sent(names: DataFrame) -> DataFrame:
+    """names, a written table of a few numbers a row, marked to be sent to all executors if it has few enough rows."""
+    return F.broadcast(names) if names.count() <= SENT_ROWS else names
+
+
 def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
     """node and s, the distinct shingles of a set, for each node of wanted; docs has ROW."""
     spoken = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*ROW)).alias("r")).select("node", *(f"r.{c}" for c in ROW))
@@ -191,9 +196,8 @@ def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words_ea
                 sets = [distinct(list(shingle_hashes(t or "", words_each))).view(np.int64) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    spoken = kept(spoken, "spoken")
-    few = spoken.count() <= SENT_ROWS  # then the texts lie still
-    texts = docs.select(*ROW, "text").join(F.broadcast(spoken) if few else spoken, list(ROW)).select("node", "text")
+    # sent, the texts lie still
+    texts = docs.select(*ROW, "text").join(sent(kept(spoken, "spoken")), list(ROW)).select("node", "text")
     return texts.mapInArrow(compute, "node long, s array<long>").dropDuplicates(["node"])  # true copies of the row
 
 
@@ -266,7 +270,8 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
     keyed = written(keyed, folder, "keyed")
     inside = written(join_split(keyed, written(buckets_of(keyed), folder, "buckets"), "bucket", "node"), folder, "inside")
     # only sets that share a bucket are looked at from here on
-    each = written(prints.select("node", "sketch").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), folder, "sketches")
+    sharing = sent(written(inside.select("node").distinct(), folder, "nodes"))
+    each = written(prints.select("node", "sketch").join(sharing, "node", "left_semi").dropDuplicates(["node"]), folder, "sketches")
 
     def alike(pairs: DataFrame, step: str) -> DataFrame:
         pairs = written(pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), folder, f"met{step}")
