@@ -70,7 +70,7 @@ class Counter:
         if ranks := merge_ranks(path):  # merging by rank comes to the same tokens, with less ado for each call
             self.ordinary = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.merge = lambda pre_token: len(self.ordinary(pre_token))
-        self.chunks = Remembered(self._chunk, 600_000)
+        self.chunks = Remembered(self._chunk, 8_000_000)
 
     def _library(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
