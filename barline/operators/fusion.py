@@ -90,34 +90,42 @@ def training_rows(panel: DataFrame, signals: DataFrame, families=FAMILIES) -> Da
     return pivoted.join(context, ["date", "ticker"]).withColumn("month", F.trunc("date", "MM"))
 
 
-def walk_forward(rows: DataFrame, families=FAMILIES, trees: int = 20, depth: int = 4, rate: float = 0.06, least: int = MIN_TRAIN_ROWS, every: int = 1):
-    """Scores of active rows, by trees trained on the months before; and the last model.
+def by_month(rows: DataFrame, estimator, least: int, every: int = 1, most: int = MAX_TRAIN_ROWS):
+    """rows (date, ticker, month, features and the estimator's label) as models of the months before see them, None
+    where no month has `least` labelled rows before it; and the last model.
 
     Months are a driver loop, as each model depends on more data than the one before; all of it stays distributed. A
-    training set keeps its most recent MAX_TRAIN_ROWS rows. every: months between retrainings.
+    training set keeps its most recent `most` rows. every: months between retrainings.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    inputs = [*(f"f_{f}" for f in families), "n_active", *CONTEXT]
-    rows = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(rows.where("n_active > 0")).select("date", "date_idx", "ticker", "month", "features", "y", "raw").persist()
-    months = [(r["month"], r["n"]) for r in rows.groupBy("month").agg(F.sum(F.col("y").isNotNull().cast("int")).alias("n")).orderBy("month").collect()]
+    label = estimator.getLabelCol()
+    months = [(r["month"], r["n"]) for r in rows.groupBy("month").agg(F.sum(F.col(label).isNotNull().cast("int")).alias("n")).orderBy("month").collect()]
     scored, model, seen, since = None, None, 0, every
     for month, n in months:
         if seen >= least:
             if model is None or since >= every:
-                past = rows.where((F.col("month") < F.lit(month)) & F.col("y").isNotNull())
-                if seen > MAX_TRAIN_ROWS:
-                    past = past.orderBy(F.col("date").desc(), "ticker").limit(MAX_TRAIN_ROWS)
-                model = GBTRegressor(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=3).fit(past)
+                past = rows.where((F.col("month") < F.lit(month)) & F.col(label).isNotNull())
+                if seen > most:
+                    past = past.orderBy(F.col("date").desc(), "ticker").limit(most)
+                model = estimator.fit(past)
                 since = 0
             since += 1
-            now = model.transform(rows.where(F.col("month") == F.lit(month))).select("date", "date_idx", "ticker", F.col("prediction").alias("score"), "raw", "y")
+            now = model.transform(rows.where(F.col("month") == F.lit(month)))
             scored = now if scored is None else scored.unionByName(now)
         seen += n
+    return scored, model
+
+
+def walk_forward(rows: DataFrame, families=FAMILIES, trees: int = 20, depth: int = 4, rate: float = 0.06, least: int = MIN_TRAIN_ROWS, every: int = 1):
+    """Scores of active rows, by trees trained on the months before; and the last model."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    inputs = [*(f"f_{f}" for f in families), "n_active", *CONTEXT]
+    rows = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(rows.where("n_active > 0")).select("date", "date_idx", "ticker", "month", "features", "y", "raw").persist()
+    scored, model = by_month(rows, GBTRegressor(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=3), least, every)
     if scored is None:
-        scored = rows.where("false").select("date", "date_idx", "ticker", F.lit(0.0).alias("score"), "raw", "y")
-    return scored, model, rows, inputs
+        scored = rows.where("false").withColumn("prediction", F.lit(0.0))
+    return scored.select("date", "date_idx", "ticker", F.col("prediction").alias("score"), "raw", "y"), model, rows, inputs
 
 
 def permutation_importance(model, rows: DataFrame, inputs: list[str], most: int = 20_000, repeats: int = 3, top: int = 15) -> DataFrame:
@@ -145,4 +153,4 @@ def permutation_importance(model, rows: DataFrame, inputs: list[str], most: int
     return spark.createDataFrame(out, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
-__all__ = ["frontier", "linear_book", "permutation_importance", "training_rows", "walk_forward"]
+__all__ = ["by_month", "frontier", "linear_book", "permutation_importance", "training_rows", "walk_forward"]

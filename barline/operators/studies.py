@@ -11,9 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fragments import lag, render
+from ..functions.fragments import frame, lag, render
 from .backtest import ROUND_TRIP, daily_ctes, forward_ctes, newey_west, run
 from .features import densify, densify_sql, derive, derive_sql, stages_for
+from .fusion import by_month
 
 COOLDOWN, WARM_UP, AHEAD = 10, 260, 21
 #: Weights of ten log closes, oldest first, whose sum is the curvature of their best quadratic.
@@ -72,6 +73,29 @@ def crash_events(panel: DataFrame, warm_up: int = WARM_UP, ahead: int = AHEAD, f
     return out.join(after, ["date", "ticker"])
 
 
+def events_sql(panel: str, warm_up: int = WARM_UP, ahead: int = AHEAD) -> list[str]:
+    """Common table expressions, of a recursive WITH, of which the last one, events, has the rows of crash_events."""
+    ctes, last = derive_sql("dense", stages_for(*_EVENT.values(), "ret ret2 quality vol20"), "e")
+    curved = " + ".join(["0.0", *(f"ln({lag('close', 9 - i) if i < 9 else 'close'}) * {c!r}" for i, c in enumerate(CURVATURE))])
+    made = ", ".join(f"{v} AS {k}" for k, v in _EVENT.items() if k != "convexity")
+    after = ", ".join(f"f.no_{h} - m.mkt_no_{h} AS fwd{h}" for h in (1, 5, 10, 20))
+    return [
+        daily_ctes(panel),
+        forward_ctes(),
+        *ctes,
+        f"based AS (SELECT *, CASE WHEN count(ret) OVER {frame(-9, 0)} = 10 THEN sum({_flag('ret < 0')}) OVER {frame(-9, 0)} END AS down10, {curved} AS convexity, "
+        f"CAST(min(low) OVER {frame(1, 10)} / close - 1 <= -0.10 AS INT) AS second_knife, max(date_idx) OVER (PARTITION BY ticker) AS final FROM {last})",
+        f"crashed AS (SELECT * FROM based WHERE ({_FAST}) OR ({_EXT}) OR ({_GRIND}))",
+        "taken AS (SELECT ticker, min(date_idx) AS date_idx FROM crashed GROUP BY ticker UNION ALL "
+        f"SELECT c.ticker, min(c.date_idx) FROM taken t JOIN crashed c ON c.ticker = t.ticker AND c.date_idx - t.date_idx >= {COOLDOWN} GROUP BY c.ticker)",
+        f"chosen AS (SELECT c.* FROM crashed c JOIN taken t ON t.ticker = c.ticker AND t.date_idx = c.date_idx WHERE c.date_idx > {warm_up} AND c.date_idx + {ahead} <= final AND c.present)",
+        f"described AS (SELECT date, ticker, {made}, convexity, quality, vol20, second_knife FROM chosen)",
+        f"events AS (SELECT d.*, {after} FROM described d JOIN forward f ON f.date = d.date AND f.ticker = d.ticker JOIN market m ON m.date = d.date)",
+    ]
+
+
+EVENT_DOUBLES = "depth5 sigma_crash accel convexity climax_rvol below_ma50_atr rangepos52 mom126 quality vol20 fwd1 fwd5 fwd10 fwd20"
+
 COHORTS = {
     "ALL knives": "true",
     "news-driven crash": "news_crash = 1",
@@ -141,10 +165,40 @@ def analogs(events: DataFrame, features=EVENT_FEATURES, outcome: str = "fwd5", k
     return nearest.groupBy("date", "ticker").agg(F.first("y").alias("y"), F.avg("py").alias("knn_pred"))
 
 
-def forks(events: DataFrame, predicted: DataFrame, cost: float = ROUND_TRIP) -> DataFrame:
-    """What catching all predicted events, the rule's or the analogs' picks would have made, net."""
-    rows = events.join(predicted.select("date", "ticker", "knn_pred"), ["date", "ticker"])
-    picks = {"catch ALL knives": "true", "rule fork (no-news + reversal|climax)": COHORTS["FORK RULE: no-news + (reversal|climax)"], "analog fork (kNN cohort > +100bp)": "knn_pred > 0.01"}
+def analogs_sql(features=EVENT_FEATURES, outcome: str = "fwd5", k: int = 25, least: int = 300) -> list[str]:
+    """Common table expressions after events, of which the last one, predicted, has the rows of analogs."""
+    n = range(len(features))
+    xs = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) AS x{i}" for i, f in enumerate(features))
+    sums = ", ".join(f"sum(x{i}) AS s{i}, sum(x{i} * x{i}) AS q{i}" for i in n)
+    before = ", ".join(f"sum(s{i}) OVER w AS s{i}, sum(q{i}) OVER w AS q{i}" for i in n)
+    spreads = ", ".join(f"sqrt(greatest(0.0, q{i} / n - power(s{i} / n, 2.0))) + 1e-9 AS d{i}" for i in n)
+    gap = " + ".join(f"power((a.x{i} - b.x{i}) / d{i}, 2.0)" for i in n)
+    return [
+        f"points AS (SELECT date, ticker, {outcome} AS y, date_trunc('month', date) AS month, {xs} FROM events)",
+        f"months AS (SELECT month, count(*) AS n, {sums} FROM points GROUP BY month)",
+        f"past AS (SELECT month, sum(n) OVER w AS n, {before} FROM months WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+        f"scales AS (SELECT month, {spreads} FROM past WHERE n >= {least})",
+        "nearest AS (SELECT a.date, a.ticker, a.y, b.y AS py, row_number() OVER (PARTITION BY a.date, a.ticker ORDER BY "
+        f"{gap}, b.date, b.ticker) AS place FROM points a JOIN scales s ON s.month = a.month JOIN points b ON b.month < a.month)",
+        f"predicted AS (SELECT date, ticker, first(y) AS y, avg(py) AS knn_pred FROM nearest WHERE place <= {k} GROUP BY date, ticker)",
+    ]
+
+
+def model_forecasts(events: DataFrame, features=EVENT_FEATURES, outcome: str = "fwd5", trees: int = 120, depth: int = 3, rate: float = 0.07, least: int = 300, every: int = 1) -> DataFrame:
+    """date, ticker and gbm_pred: the outcome that boosted trees, trained on the events of earlier months, expect."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = events.select("date", "ticker", F.trunc("date", "MM").alias("month"), F.col(outcome).alias("y"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows).persist()
+    scored, _ = by_month(rows, GBTRegressor(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=2), least, every)
+    return (rows.where("false").withColumn("prediction", F.lit(0.0)) if scored is None else scored).select("date", "ticker", F.col("prediction").alias("gbm_pred"))
+
+
+def forks(events: DataFrame, predicted: DataFrame, modelled: DataFrame, cost: float = ROUND_TRIP) -> DataFrame:
+    """What catching all predicted events, the rule's, the model's or the analogs' picks would have made, net."""
+    rows = events.join(modelled, ["date", "ticker"]).join(predicted.select("date", "ticker", "knn_pred"), ["date", "ticker"], "left")
+    picks = {"catch ALL knives": "true", "rule fork (no-news + reversal|climax)": COHORTS["FORK RULE: no-news + (reversal|climax)"], "model fork (GBM pred > +100bp)": "gbm_pred > 0.01", "analog fork (kNN cohort > +100bp)": "knn_pred > 0.01"}
     tagged = F.filter(F.array(*(F.when(F.expr(render(p, "spark")), F.lit(name)) for name, p in picks.items())), lambda x: x.isNotNull())
     each = rows.select(F.explode(tagged).alias("strategy"), F.concat_ws(" ", F.col("date").cast("string"), "ticker").alias("date"), (F.col("fwd5") - cost).alias("x"))
     tested = each.sparkSession.sql(render(newey_west("strategy", "{each}", "x", "6"), "spark"), each=each)
@@ -222,12 +276,22 @@ REQUIRED_SKILL = (
 )
 
 
-def day_traders(panel: DataFrame, n_traders: int = 2000, days: int = 252, k: int = 3, cost_bps: float = RETAIL_BPS, hot: bool = False, adjusted: bool = True, random_entry: bool = False, seed: int = 5) -> DataFrame:
-    """trader, pnl: each trader's year of picking k names a day at random, bought at the open and sold at the close.
+#: Name: (only names in the day's top decile of relative volume, less the mean intraday return, a random part of the day's move).
+TRADERS = {
+    "random, sim-world (upper bound)": (False, False, False),
+    "random, overnight-adjusted (realistic)": (False, True, False),
+    "hot movers (attention bias), adj": (True, True, False),
+    "random entry time, adj": (False, True, True),
+}
+#: Cells of the return matrix that random traders draw from.
+MAX_CELLS = 20_000_000
+
 
-    Only the matrix of day returns is sent out, bounded by MAX_CELLS; traders are dealt out and each draws from a
-    seed of its own. hot: only names in the day's top decile of relative volume, as attention finds them; adjusted: less the mean
-    intraday return; random_entry: a random part of the day's move.
+def day_traders(panel: DataFrame, n_traders: int = 2000, days: int = 252, k: int = 3, cost_bps: float = RETAIL_BPS, variants=TRADERS, seed: int = 5) -> DataFrame:
+    """variant, trader, pnl: each trader's year of picking k names a day at random, bought at the open and sold at the close.
+
+    Only the matrix of day returns is sent out, bounded by MAX_CELLS; traders are dealt out and each draws a year at
+    once from a seed of its own. A day with fewer than k names isn't traded.
     """
     rows = derive(densify(panel), stages_for("rvol_rank")).selectExpr("date_idx", "ticker", "close / nullif(open, 0) - 1 AS oc", "rvol_rank >= 0.9 AS is_hot")
     size = rows.agg(F.max("date_idx").alias("t"), F.count_distinct("ticker").alias("n")).first()
@@ -236,36 +300,34 @@ def day_traders(panel: DataFrame, n_traders: int = 2000, days: int = 252, k: int
     got = rows.toPandas()
     oc = got.pivot(index="date_idx", columns="ticker", values="oc").sort_index().to_numpy(float)
     mask = got.assign(is_hot=got.is_hot.eq(True)).pivot(index="date_idx", columns="ticker", values="is_hot").sort_index().to_numpy(bool)
-    sent = panel.sparkSession.sparkContext.broadcast((oc, mask, float(np.nanmean(oc)) if adjusted else 0.0))
+    sent = panel.sparkSession.sparkContext.broadcast((oc, mask, float(np.nanmean(oc))))
     days = min(days, len(oc) - 1)
 
+    def year(rng, hot: bool, adjusted: bool, random_entry: bool) -> float:
+        oc, mask, shift = sent.value
+        start = rng.integers(0, len(oc) - days)
+        moves, hits = oc[start : start + days], mask[start : start + days]
+        can = np.isfinite(moves) & (hits if hot else True)
+        if moves.shape[1] < k:
+            return 0.0
+        drawn = np.argpartition(np.where(can, rng.random(can.shape), 2.0), k - 1, axis=1)[:, :k]
+        r = np.take_along_axis(moves, drawn, 1) - (shift if adjusted else 0.0)
+        if random_entry:
+            r = r * rng.uniform(0, 1, r.shape)
+        return float((r.mean(axis=1) - cost_bps / 1e4)[can.sum(axis=1) >= k].sum())
+
     def live(batches):
         import pandas as pd
 
-        oc, mask, shift = sent.value
-        open_to = np.isfinite(oc) & (mask if hot else True)
         for batch in batches:
-            out = []
-            for trader in batch["id"]:
-                rng = np.random.default_rng([seed, int(trader)])
-                start, pnl = rng.integers(0, len(oc) - days), 0.0
-                for t in range(start, start + days):
-                    can = np.flatnonzero(open_to[t])
-                    if len(can) >= k:
-                        r = oc[t, rng.choice(can, k, replace=False)] - shift
-                        pnl += float(np.mean(r * rng.uniform(0, 1, k) if random_entry else r)) - cost_bps / 1e4
-                out.append(pnl)
-            yield pd.DataFrame({"trader": batch["id"], "pnl": out})
+            for i, (name, kind) in enumerate(variants.items()):
+                yield pd.DataFrame({"variant": name, "trader": batch["id"], "pnl": [year(np.random.default_rng([seed, i, int(t)]), *kind) for t in batch["id"]]})
 
-    return panel.sparkSession.range(n_traders).repartition(8).mapInPandas(live, "trader long, pnl double")
-
-
-#: Cells of the return matrix that random traders draw from.
-MAX_CELLS = 20_000_000
+    return panel.sparkSession.range(n_traders).repartition(8).mapInPandas(live, "variant string, trader long, pnl double")
 
 
 def annual_distribution(pnl: DataFrame) -> DataFrame:
-    return pnl.agg(
+    return pnl.groupBy("variant").agg(
         (100 * F.avg("pnl")).alias("mean_annual_pct"),
         (100 * F.percentile("pnl", F.lit(0.5))).alias("median_annual_pct"),
         F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("p_profitable_year"),

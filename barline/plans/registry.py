@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fragments import div, render, roll
-from ..operators import backtest, fusion, interaction, learned, recovery, rules, shapes, signals, studies
+from ..operators import backtest, foresight, fusion, interaction, learned, recovery, rules, samples, shapes, signals, studies
 from ..operators.features import densify, densify_sql, derive, derive_sql, stages_for
 from ..sources import bars, files, simulator
 from ..sources.kept import kept
@@ -110,8 +110,8 @@ register(
     "nextday_drift_bps d5_drift_bps p_nextday_cont",
 )
 
-#: The signals that event-study queries run on: every rule of these families.
-STUDIED = ("gaps", "anchors", "breakouts", "volume", "candles")
+#: The signals that event-study queries run on: every rule of every family that has rules.
+STUDIED = tuple(f for f in rules.FAMILIES if f != "ml")
 _STUDIED = rules.rules(*STUDIED)
 _SIGNALS = f"signals AS ({signals.detect_sql([], 'bars', _STUDIED).replace('dense', 'grid')})"
 
@@ -160,7 +160,7 @@ _pivot = fusion.pivot_ctes(_FUSED)
 _linear = fusion.linear_ctes(_FUSED)
 _scores = " ".join(f"f_{f}" for f in _FUSED)
 _study("feature_pivot", [_daily, _pivot], f"SELECT date, ticker, n_active, {_scores.replace(' ', ', ')} FROM pivoted", _scores)
-_study("zsum_portfolio", [_daily, _forward, _pivot, _linear, fusion.sides_ctes(3)], "SELECT * FROM book", "gross net")
+_study("zsum_portfolio", [_daily, _forward, _pivot, _linear, fusion.sides_ctes(10)], "SELECT * FROM book", "gross net")
 _study(
     "topk_overlap_portfolio",
     [_daily, _forward, _pivot, _linear, backtest.steps_cte("duckdb"), fusion.frontier_ctes()],
@@ -186,26 +186,49 @@ def _events(spark, sf_dir):
 
 register("walkforward_gbt", lambda spark, sf_dir: _walked(spark, sf_dir)[0].select("date", "ticker", "score"))
 register("permutation_importance", _importance)
-register("crash_events", _events)
-register("cohort_table", lambda spark, sf_dir: studies.cohorts(_events(spark, sf_dir)))
-register("knn_past_cohort", lambda spark, sf_dir: studies.analogs(_events(spark, sf_dir), least=60))
+_event_ctes = studies.events_sql("bars", warm_up=120)
+_knn_ctes = studies.analogs_sql(least=60)
+
+
+def _of_events(select: str, more: list[str] | None = None) -> str:
+    return render("WITH RECURSIVE " + ", ".join([_BARS, *_event_ctes, *(more or [])]) + " " + select, "duckdb")
+
+
+register("crash_events", _events, _of_events("SELECT * FROM events"), studies.EVENT_DOUBLES)
+register("cohort_table", lambda spark, sf_dir: studies.cohorts(_events(spark, sf_dir)), _of_events(studies.cohort_sql().format(events="events")), "fwd5_bps fwd10_bps p_bounce5 p90_5d_pct p10_5d_pct p_second_knife")
+register("knn_past_cohort", lambda spark, sf_dir: studies.analogs(_events(spark, sf_dir), least=60), _of_events("SELECT * FROM predicted", _knn_ctes), "y knn_pred")
 
 
 def _forks(spark, sf_dir):
     events = kept(_events(spark, sf_dir), "events")
-    return studies.forks(events, studies.analogs(events, least=60))
+    return studies.forks(events, studies.analogs(events, least=60), studies.model_forecasts(events, trees=5, least=60, every=12))
 
 
 register("crash_forks", _forks)
-register("analog_correlation", lambda spark, sf_dir: studies.information_coefficient(studies.analogs(_events(spark, sf_dir), least=60)))
-register("average_path", lambda spark, sf_dir: studies.average_path(bars.walk(spark, sf_dir), _events(spark, sf_dir)))
+register("analog_correlation", lambda spark, sf_dir: studies.information_coefficient(studies.analogs(_events(spark, sf_dir), least=60)), _of_events("SELECT corr(knn_pred, y) AS ic FROM predicted", _knn_ctes), "ic")
+_PATHS = (
+    "SELECT CAST(p.date_idx - a.date_idx AS INT) AS \"offset\", avg(ln(p.close) - ln(a.close)) AS path FROM events e JOIN dense a ON a.date = e.date AND a.ticker = e.ticker "
+    "JOIN dense p ON p.ticker = e.ticker AND p.date_idx BETWEEN a.date_idx - 15 AND a.date_idx + 20 GROUP BY 1"
+)
+register("average_path", lambda spark, sf_dir: studies.average_path(bars.walk(spark, sf_dir), _events(spark, sf_dir)), _of_events(_PATHS), "path")
 _oracle_ctes, _ = studies.oracle_ctes("bars")
 for _name, _select, _doubles in (
     ("oracle_top3", studies.TOP_TABLE, "return_pct rvol_that_day gap_that_day_pct exante_rvol exante_news_3d exante_mom21 exante_prox52 exante_vol20 exante_compression"),
     ("winner_profile", studies.profile_select(), "winners universe lift"),
+    ("random_baseline", foresight.chance_select(), "random3_avg_daily_pct random_hit_rate"),
     ("oracle_ceiling", studies.CEILING, "oracle_avg_daily_pct universe_avg_daily_pct news_share_of_top3"),
 ):
     register(_name, lambda spark, sf_dir, select=_select: studies.winners(bars.walk(spark, sf_dir), select), render("WITH " + ", ".join([_BARS, *_oracle_ctes]) + " " + _select, "duckdb"), _doubles)
+
+
+def _honest(spark, sf_dir):
+    """The table has 357 bars a ticker: fewer rows than the operator asks of a model by default. Trees as in walkforward_gbt."""
+    return foresight.honest_picks(foresight.chances(bars.walk(spark, sf_dir), trees=5, least=2000, every=12))
+
+
+register("honest_picks", _honest)
+register("oracle_summary", lambda spark, sf_dir: foresight.oracle_summary(kept(bars.walk(spark, sf_dir), "bars"), _honest(spark, sf_dir)))
+_study("sample_trades", [_daily, _forward, _attached, samples.sample_ctes()], "SELECT * FROM samples", "strength ret_5 entry_price exit_price")
 register("treadmill", lambda spark, sf_dir: spark.sql(studies.TREADMILL), studies.TREADMILL, "net_daily_bps net_annual_pct")
 register(
     "required_skill",
@@ -213,7 +236,7 @@ register(
     f"WITH {_BARS} " + studies.REQUIRED_SKILL.format(panel="bars"),
     "per_trade_edge_bps hit_rate_needed",
 )
-register("day_traders", lambda spark, sf_dir: studies.annual_distribution(studies.day_traders(bars.walk(spark, sf_dir), n_traders=200)))
+register("day_traders", lambda spark, sf_dir: studies.annual_distribution(studies.day_traders(bars.walk(spark, sf_dir))))
 
 
 def _family_returns(spark, sf_dir):
@@ -221,7 +244,7 @@ def _family_returns(spark, sf_dir):
     return backtest.family_portfolio(panel, found)
 
 
-register("bootstrap", lambda spark, sf_dir: studies.bootstrap(_family_returns(spark, sf_dir).where("family = 'candles'"), n_draws=200))
+register("bootstrap", lambda spark, sf_dir: studies.bootstrap(_family_returns(spark, sf_dir).where("family = 'candles'")))
 _CURVE = "SELECT date, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM portfolio WHERE family = 'candles'"
 _study(
     "equity_curve",
