@@ -268,7 +268,10 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
     # sketch and bands follow from the set, so any row of a node has the same
     keyed = prints.select("node", "bands").dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
     keyed = written(keyed, folder, "keyed")
-    inside = written(join_split(keyed, written(buckets_of(keyed), folder, "buckets"), "bucket", "node"), folder, "inside")
+    # most keys are those of one set: what is told of a bucket is worked out for the others only
+    shared = written(keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "count"), folder, "shared")
+    among = written(join_split(keyed, shared.select("bucket"), "bucket", "node", counts=shared), folder, "among")
+    inside = written(join_split(among, written(buckets_of(among), folder, "buckets"), "bucket", "node", counts=shared), folder, "inside")
     # only sets that share a bucket are looked at from here on
     sharing = sent(written(inside.select("node").distinct(), folder, "nodes"))
     each = written(prints.select("node", "sketch").join(sharing, "node", "left_semi").dropDuplicates(["node"]), folder, "sketches")
