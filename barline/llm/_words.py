@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
@@ -33,6 +34,19 @@ class Remembered(dict):
         return value
 
 
+def giving_back(compute):
+    """compute, which makes batches of batches, so that at its end the memory it has freed goes back to the machine: a
+    Python worker stays for tasks of later stages, and what it keeps would add to theirs."""
+
+    def run(batches):
+        yield from compute(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+            trim(0)
+
+    return run
+
+
 def slices(batch, rows: int = 256, size: int | None = None, column: str = "text"):
     """A record batch in short runs of rows, so that only a few texts exist as Python objects at a time. With a size,
     a run also ends once its texts hold that many bytes, one text at least."""

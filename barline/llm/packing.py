@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import drop, shared_folder, table, written
-from ._words import Split, gather, slices
+from ._words import Split, gather, giving_back, slices
 from .token_counts import byte_alphabet
 
 CAPACITY = 4096
@@ -49,8 +49,8 @@ BUNDLE, SINGLE_SHARE = 1024, 0.25
 LEAST_GAIN = 0.02
 #: Runs of letters that lower-casing and NFC keep as they are but for case, then a run of punctuation: one or two pre-tokens.
 SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?|%&*$#]*)$"
-#: Texts tokenised together, in bytes.
-BATCH_BYTES = 8 << 20
+#: Texts tokenised together, in bytes, and places of words whose ids are joined in one go.
+BATCH_BYTES, PLACES = 4 << 20, 1 << 16
 
 
 class WordIds:
@@ -121,7 +121,14 @@ class WordIds:
         split = Split(texts)  # ASCII white space only: a boundary for the tokenizer as well
         ids, starts, lengths = self.words(split.words)
         edges = np.concatenate([[0], np.cumsum(split.sums(lengths.sum(axis=1)[split.codes]))]).astype(np.int64)
-        return ids[gather(starts[split.codes].ravel(), lengths[split.codes].ravel())], edges
+        out = np.empty(int(edges[-1]), "<u4")
+        filled = 0
+        for at in range(0, len(split.codes), PLACES):
+            codes = split.codes[at : at + PLACES]
+            some = ids[gather(starts[codes].ravel(), lengths[codes].ravel())]
+            out[filled : filled + len(some)] = some
+            filled += len(some)
+        return out, edges
 
 
 @lru_cache(maxsize=1)
@@ -146,7 +153,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     out += [(key, at // step, at // 4, len(p := own[at : at + step]) // 4, zlib.crc32(p)) for at in range(0, len(own), step)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(giving_back(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def histogram(rows: DataFrame, column: str) -> dict[int, int]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..sources.kept import kept
 from ._tables import ROW, join_split, shared_folder, table, with_row, written
-from ._words import slices
+from ._words import giving_back, slices
 from .fingerprint import resemblance
 
 RADIUS = 2
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, sketched: boo
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")) + ", set_id long, sketch array<int>, bands array<long>" * sketched
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text").mapInArrow(compute, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text").mapInArrow(giving_back(compute), schema)
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -198,7 +198,7 @@ def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words_ea
 
     # sent, the texts lie still
     texts = docs.select(*ROW, "text").join(sent(kept(spoken, "spoken")), list(ROW)).select("node", "text")
-    return texts.mapInArrow(compute, "node long, s array<long>").dropDuplicates(["node"])  # true copies of the row
+    return texts.mapInArrow(giving_back(compute), "node long, s array<long>").dropDuplicates(["node"])  # true copies of the row
 
 
 def beside(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:

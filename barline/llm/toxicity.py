@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._models import fold, labelled_sample
 from ._tables import shared_folder, table, written
-from ._words import Remembered, Split, slices
+from ._words import Remembered, Split, giving_back, slices
 
 # Insults that hold without any label.
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "asshole", "bitch")
@@ -331,7 +331,7 @@ def train(spark, docs: DataFrame, labels: DataFrame) -> tuple[tuple[list[str], .
                 rows = list(features(part.column("text"), lexicon))
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = sample.select("text", "toxic").mapInArrow(compute, "toxic double, x array<double>").groupBy("toxic", "x").count().collect()
+    got = sample.select("text", "toxic").mapInArrow(giving_back(compute), "toxic double, x array<double>").groupBy("toxic", "x").count().collect()
     x, y, n = (np.array([r[c] for r in got], float) for c in ("x", "toxic", "count"))
     if not got:
         return learned, PRIOR
@@ -353,7 +353,7 @@ def score(spark, docs: DataFrame, model, name: str = "toxicity") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scorer(part.column("text")), pa.float64())], [*kept, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema) + f", `{name}` double"
-    return docs.select(kept).mapInArrow(compute, schema)
+    return docs.select(kept).mapInArrow(giving_back(compute), schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
