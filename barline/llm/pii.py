@@ -267,6 +267,12 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def counted(found: Column, kind: str) -> Column:
+    """How many spans are of a kind. A filter's function takes the span only: a second parameter, even one with a default
+    value, would be the span's place in the array."""
+    return F.size(F.filter(found, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def masked(text: Column, found: Column) -> Column:
     """text with each span replaced by its kind in brackets; spans that overlap go as one, by the first one's kind."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
@@ -285,7 +291,7 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = personal_data(docs, without=("text",))
     base = F.filter("spans", lambda s: s["base"])
-    n = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    n = [counted(base, kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *n, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

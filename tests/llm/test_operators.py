@@ -771,6 +771,16 @@ def test_base_spans_equal_plain_patterns(spark):
         assert not [x for x in slow_base(r["masked"]) if x.startswith("email")]
 
 
+def test_pii_query_equals_plain_patterns(spark, tmp_path):
+    texts = [*private_texts(), "1.2.3.4 and 4.3.2.1", "x@y.org", "", None]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in pii.op10_pii(spark, saved(spark, tmp_path / "t", rows)).collect()}
+    for i, text in enumerate(texts):
+        want = slow_base(text or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(f"{k}:") for x in want) for k in pii.KINDS], text
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), text
+
+
 def test_long_runs_without_space_are_linear(spark):
     texts = ["a" * 100_000, "1" * 100_000, "1." * 40_000, "+1 " * 20_000, "a.b@" * 20_000, "1 " * 50_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
