@@ -34,15 +34,16 @@ def has_copies(keyed: DataFrame) -> bool:
     return not keyed.groupBy(*ROW).count().where("count > 1").isEmpty()
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """left joined with right by key, where a third of left's rows may share one. right has a row for each key at most,
     salt is a column of left that tells rows of a key apart.
 
     Hot keys, at most 1 / HOT_SHARE of them, are counted first; their rows are dealt to HOT_PARTS parts, and the one
-    row of right goes to each part. counts: key and count of left, if at hand; keys of one row may be left out.
+    row of right goes to each part. counts: key and count of left, if at hand; keys of one row may be left out. total:
+    left's rows, if at hand; with both, left is worked out for the join only.
     """
     counts = left.groupBy(key).count() if counts is None else counts
-    total = left.count()
+    total = left.count() if total is None else total
     hot = [r[key] for r in counts.where(F.col("count") > max(HOT_ROWS, total * HOT_SHARE)).collect() if r[key] is not None]
     if not hot:
         return left.join(right, key, how)

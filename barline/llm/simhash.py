@@ -202,9 +202,12 @@ def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words_ea
 
 
 def beside(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """pairs (u, v) with a and b, what `of` (node and column) has for either. A hub may stand in a third of the pairs."""
+    """pairs (u, v), a written table, with a and b, what `of` (node and column) has for either. A hub may stand in a third
+    of the pairs. The first join leaves one row a pair, so the second one's counts are those of pairs, and each is made
+    once."""
     a, b = (of.select(F.col("node").alias(x), F.col(column).alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    return join_split(join_split(pairs, a, "u", "v"), b, "v", "u")
+    total = pairs.count()
+    return join_split(join_split(pairs, a, "u", "v", total=total), b, "v", "u", counts=pairs.groupBy("v").count(), total=total)
 
 
 def exact_resemblance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,13 +225,13 @@ def unsettled(members: DataFrame, links: DataFrame, folder: str) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each bucket of members (bucket, node, root) the one of most links that isn't among used (bucket, node), and it
+    """Of each bucket of members (bucket, node, k, root) the one of most links that isn't among used (bucket, node), and it
     against the members of other components."""
     degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), F.struct("n", F.xxhash64("node"), "node"))
+    best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("k").alias("hub_k"), F.col("root").alias("hub_root")), F.struct("n", F.xxhash64("node"), "node"))
     hubs = members.join(used, ["bucket", "node"], "left_anti").join(degrees, "node").groupBy("bucket").agg(best.alias("h")).select("bucket", "h.*")
     met = join_split(members, hubs, "bucket", "node").where("root <> hub_root")
-    return hubs.select("bucket", F.col("hub").alias("node")), met.select("node", F.col("hub").alias("other"))
+    return hubs.select("bucket", F.col("hub").alias("node")), met.select("node", "k", F.col("hub").alias("other"), F.col("hub_k").alias("other_k"))
 
 
 def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
@@ -252,10 +255,10 @@ def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def buckets_of(keyed: DataFrame) -> DataFrame:
-    """Buckets of keyed (node, bucket) with several members: how many, and the ends of two orders of them. Of buckets
-    that have the same members one stands for all."""
-    order = F.xxhash64("node")
-    ends = (F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", order).alias("first"), F.max_by("node", order).alias("last"))
+    """Buckets of keyed (node, k, bucket) with several members: how many, and the ends (node, k) of two orders of them. Of
+    buckets that have the same members one stands for all."""
+    order, member = F.xxhash64("node"), F.struct("node", "k")
+    ends = (F.min(member).alias("lo"), F.max(member).alias("hi"), F.min_by(member, order).alias("first"), F.max_by(member, order).alias("last"))
     mark = F.sum(F.xxhash64(F.lit(2), F.col("node")).cast("decimal(38,0)")).alias("mark")
     found = keyed.groupBy("bucket").agg(F.count("*").alias("n"), *ends, mark).where("lo < hi")
     return found.groupBy("n", "lo", "hi", "first", "last", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
@@ -266,7 +269,9 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
     components. docs has ROW, prints ROW, node, sketch and bands. Sketches decide where they are sure; near the line
     the shingles themselves do."""
     # sketch and bands follow from the set, so any row of a node has the same
-    keyed = prints.select("node", "bands").dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
+    # and k, the sketch's size, goes along: sketches whose sizes are too far apart need no comparison
+    keyed = prints.select("node", F.size("sketch").cast("short").alias("k"), "bands").dropDuplicates(["node"]).select("node", "k", F.posexplode("bands").alias("t", "key"))
+    keyed = keyed.select("node", "k", F.xxhash64("t", "key").alias("bucket"))
     keyed = written(keyed, folder, "keyed")
     # most keys are those of one set: what is told of a bucket is worked out for the others only
     shared = written(keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "count"), folder, "shared")
@@ -277,7 +282,9 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
     each = written(prints.select("node", "sketch").join(sharing, "node", "left_semi").dropDuplicates(["node"]), folder, "sketches")
 
     def alike(pairs: DataFrame, step: str) -> DataFrame:
-        pairs = written(pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), folder, f"met{step}")
+        # what is estimated is the lesser size in the greater one at most, so this drops what the estimate would
+        may = pairs.where(F.least("k", "other_k") >= F.greatest("k", "other_k") * (similarity - UNSURE) - 1e-6)
+        pairs = written(may.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), folder, f"met{step}")
         guessed = beside(pairs, each, "sketch").select("u", "v", resemblance(F.col("a"), F.col("b"), SKETCH).alias("r"))
         guessed = written(guessed.where(F.col("r") >= similarity - UNSURE), folder, f"pairs{step}")
         near = guessed.where(F.col("r") < similarity + UNSURE).select("u", "v")
@@ -286,11 +293,11 @@ def similar(docs: DataFrame, prints: DataFrame, similarity: float, words_each: i
 
     is_large = F.col("n") > SMALL
     ends = F.array_distinct(F.when(is_large, F.array("lo", "hi", "first", "last")).otherwise(F.array("lo", "hi")))
-    links = alike(inside.select("node", F.explode(ends).alias("other")).where("node <> other"), "")
-    used = written(inside.where(is_large).select("bucket", F.explode(F.array("lo", "hi", "first", "last")).alias("node")).distinct(), folder, "used")
-    members = unsettled(inside.select("bucket", "node", "n"), links, f"{folder}/open")
-    few = members.where(~is_large).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all")).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
-    pairs = few.where("a.node > b.node AND a.root <> b.root").select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+    links = alike(inside.select("node", "k", F.explode(ends).alias("e")).select("node", "k", F.col("e.node").alias("other"), F.col("e.k").alias("other_k")).where("node <> other"), "")
+    used = written(inside.where(is_large).select("bucket", F.explode(F.array("lo.node", "hi.node", "first.node", "last.node")).alias("node")).distinct(), folder, "used")
+    members = unsettled(inside.select("bucket", "node", "k", "n"), links, f"{folder}/open")
+    few = members.where(~is_large).groupBy("bucket").agg(F.collect_list(F.struct("node", "k", "root")).alias("all")).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    pairs = few.where("a.node > b.node AND a.root <> b.root").select(F.col("a.node").alias("node"), F.col("a.k").alias("k"), F.col("b.node").alias("other"), F.col("b.k").alias("other_k"))
     members = members.where(is_large).drop("n")
     for k in range(HUB_ROUNDS):
         hubs, met = hub_pairs(members, links, used)

@@ -741,6 +741,28 @@ def test_sketches_estimate_and_merge(spark):
     assert list(merged) == list(whole)
 
 
+def test_pairs_are_joined_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    nodes = spark.range(800).select(F.col("id").alias("node"), (F.col("id") * 3).alias("x")).mapInArrow(count, "node long, x long")
+    rows = [(799, i) for i in range(400)] + [(i, 0) for i in range(400, 799)]  # a hot key on either side
+    got = simhash.beside(spark.createDataFrame(rows, "u long, v long"), nodes, "x").collect()
+    assert sorted((r["u"], r["v"], r["a"], r["b"]) for r in got) == sorted((u, v, 3 * u, 3 * v) for u, v in rows)
+    assert made.value <= 2 * 800
+
+
+def test_sizes_bound_the_estimate(spark):
+    rng = random.Random(4)
+    rows = [tuple(sorted(rng.sample(range(40), rng.randint(1, 16))) for _ in range(2)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>").select(fingerprint.resemblance(F.col("a"), F.col("b"), 16).alias("r"), F.size("a").alias("n"), F.size("b").alias("m"))
+    assert all(r["r"] <= min(r["n"], r["m"]) / max(r["n"], r["m"]) + 1e-9 for r in df.collect())
+
+
 # op10 ------------------------------------------------------------------------------------------------------------
 def slow_base(t: str) -> list[str]:
     out = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
